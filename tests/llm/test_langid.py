@@ -1,0 +1,95 @@
+import random
+import zlib
+
+import helpers as h
+import numpy as np
+import pytest
+
+from tamis.llm import langid, queries
+
+
+def brute_bits(samples, order, min_count, text):
+    """Code lengths by walking each language's contexts for each byte, with escape C and exclusion."""
+    fold = lambda t: bytes(langid.FOLD[np.frombuffer(t.encode(), np.uint8)])
+    pad = b" " * order
+    data = {l: pad + pad.join(map(fold, samples[l])) for l in samples}
+    alphabet = {32} | {b for d in data.values() for b in d}
+    counts, seen = {l: {} for l in data}, {}
+    for l, d in data.items():
+        for i in range(order, len(d)):
+            for k in range(order + 1):
+                c = d[i - k : i]
+                seen[c] = seen.get(c, 0) + 1
+                counts[l].setdefault(c, {})[d[i]] = counts[l].get(c, {}).get(d[i], 0) + 1
+    kept = lambda c: not c or (seen.get(c, 0) >= min_count and kept(c[1:]) and kept(c[:-1]))
+    out = []
+    for l in sorted(data):
+        bits, t = 0.0, pad + fold(text)
+        for i in range(order, len(t)):
+            k = next(k for k in range(order, -1, -1) if kept(t[i - k : i]) and all(b in alphabet for b in t[i - k : i]))
+            p, gone = 1.0, set()
+            for j in range(k, -1, -1):
+                own = {b: n for b, n in counts[l].get(t[i - j : i], {}).items() if b not in gone}
+                if own:
+                    whole = sum(own.values()) + len(own)
+                    if t[i] in own:
+                        p *= own[t[i]] / whole
+                        break
+                    p *= len(own) / whole
+                    gone |= set(own)
+            else:
+                p /= 256 - len(gone)
+            bits -= np.log2(p)
+        out.append(bits)
+    return out
+
+
+@pytest.mark.parametrize("order", [0, 1, 3, 4])
+def test_code_lengths_are_those_of_the_trees(order):
+    rng = random.Random(order)
+    make = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    samples = {"x": [make("aabcdé", 60), make("abe", 20)], "y": [make("aabxyzö", 60)], "z": ["q"]}
+    model = langid.train(samples, order, min_count=2)
+    texts = [make("abcxyzéöq", 30), "zzzz", "", "日本 abc", "A1B2 c3", samples["x"][0]]
+    got = model.code_lengths(texts)
+    for t, row in zip(texts, got):
+        assert row == pytest.approx(brute_bits(samples, order, 2, t), rel=1e-4, abs=1e-3)
+
+
+def test_slices_do_not_matter(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdef gh") for _ in range(rng.randrange(400))) for _ in range(60)] + ["x" * 5000]
+    model = langid.train({"p": texts[:20], "q": texts[20:40]}, 3)
+    whole = model.code_lengths(texts)
+    monkeypatch.setattr(langid, "SLICE_BYTES", 257)
+    assert model.code_lengths(texts) == pytest.approx(whole, rel=1e-6, abs=1e-4)
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op6_langid(spark, sf).collect()
+    assert len(got) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    out = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in out) > 0.97 * len(out)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_labels_of_held_out_rows_are_not_learnt(spark):
+    rows = [(i, ("der die das und ist " if i % 2 else "the and of to is ") * 5, "de" if i % 2 else "en") for i in range(60)]
+    wrong = [(i, t, "xx" if zlib.crc32(str(i).encode()) % 3 == 1 else l) for i, t, l in rows]
+    got = langid.identify(spark.createDataFrame(wrong, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {"de", "en"}
+    assert {r.doc_id: r.lang_pred for r in got} == {i: l for i, _, l in rows}
+
+
+def test_awkward_rows(spark):
+    docs = h.awkward_documents(spark)
+    got = langid.identify(h.with_clashes(docs)).collect()
+    assert len(got) == docs.count()
+    assert {r.lang_pred for r in got if r.doc_id in (4, 5, 6, 10)} == {"und"}
+    assert {r.held_out for r in got if r.doc_id is None} == {False}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 2}) == 1
+    assert langid.identify(docs.limit(0)).count() == 0
+    nothing = langid.identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
+    assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
