@@ -45,22 +45,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     lineage in the shared folder. Nodes without an edge are not returned; self-loops are allowed.
     """
     now = cut(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null").distinct())
-    loops = now.where("u = v").select(F.col("u").alias("node")).distinct()
-    now = now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    mark = None
+    loops = now.where("u = v").select(F.col("u").alias("node"))
+    now = now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    rows, mark = now.count(), None
     for _ in range(max_rounds):
+        now = now.coalesce(max(2, rows // 100_000))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every edge of large points down (u > v): small-star joins what each node points to with its least
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("a"), "u", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         now = cut(small.where("u <> v").distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
+        rows, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (rows, total) == mark:
             break
-        mark = seen
+        mark = (rows, total)
     else:
         raise RuntimeError("the components did not settle")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

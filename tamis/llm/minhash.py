@@ -6,12 +6,12 @@ similarity, and their mean varies less than that of as many independent minima.
 buckets of a locality-sensitive index. With 50 bands of 7 values, a pair at similarity 0.8 misses all buckets with a
 probability of (1 - 0.8^7)^50, under 1e-5.
 
-Texts with equal shingle sets are one class from the start. Classes that share buckets are compared through pivots:
-the member of a bucket that shares most buckets with others comes first. Links are confirmed on the full shingle
-sets, found links are contracted to components, and the members of a bucket that are still in different components are
-compared with twice as many further pivots in each round, until every bucket is one component or every pair of its
-components' members has been compared. So no pair that could join two components is left out, while a group of copies
-costs about one comparison a member.
+Texts with equal shingle sets are one class from the start. Each bucket's classes are first compared with its pivot,
+the member that shares most buckets with others; links are confirmed on the full shingle sets and contracted to
+components, which leaves little of most groups of copies. Then every two members of a bucket that are still in different
+components are compared: as pairs in small buckets, and in large ones block by block, each task holding the shingles of
+two blocks of bounded size and returning only links that join components. So no pair that could join two components is
+left out, and no group is gathered in one place or written out as all its pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tamis.llm.common import connected_components, cut
 
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+#: Members up to which a bucket's pairs are written out.
+SMALL = 24
+#: Rows and shingles of a block of a larger bucket (it holds one document more than fits).
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Shingles that are hashed by all permutations in one go.
 SLICE = 4096
 
@@ -99,6 +103,64 @@ def _signed(docs: DataFrame, k: int, index: MinMax) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Sets whose sizes differ more can't be similar enough."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def _joined_by_blocks(large: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``u, v``: links between members of a bucket in different components, enough to join all that they join.
+
+    The members of a bucket are cut into blocks of bounded rows and shingles; each two blocks meet in one task.
+    """
+    upto = Window.partitionBy("key").orderBy("rank")
+    block = F.greatest(F.floor((F.col("rank") - 1) / BLOCK_ROWS), F.floor((F.sum("size").over(upto) - F.col("size")) / BLOCK_SHINGLES))
+    blocked = large.withColumn("block", block.cast("long"))
+    last = blocked.groupBy("key").agg(F.max("block").alias("last"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    meet = blocked.join(last, "key").withColumn("pair", F.explode(pairs)).select("key", "pair.i", "pair.j", "block", "id", "comp")
+    meet = meet.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+
+    def join(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, ids, comp = (table.column(c).to_numpy() for c in ("block", "id", "comp"))
+        sets = [shingle_hashes(t, k) for t in table.column("text").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        _, every = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        by = np.argsort(every, kind="stable")
+        postings, first = owner[by], np.searchsorted(every[by], np.arange(every.max(initial=0) + 2))
+        mine = np.split(every, np.cumsum(sizes)[:-1])
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while c in root:
+                c = root[c]
+            return c
+
+        u, v = [], []
+        names, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+        usual = int(count.argmax())  # members of the largest component meet the others from their side
+        for x in range(len(sets)):
+            if at[x] == usual or not sizes[x]:
+                continue
+            a, b = first[mine[x]], first[mine[x] + 1]
+            reach = np.repeat(b - np.cumsum(b - a), b - a) + np.arange((b - a).sum())
+            inter = np.bincount(postings[reach], minlength=len(sets))
+            hit = (at != at[x]) & (100 * inter >= percent * (sizes + sizes[x] - inter))
+            if i != j:
+                hit &= block != block[x]
+            for y in np.flatnonzero(hit):
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    u.append(max(int(ids[x]), int(ids[y])))
+                    v.append(min(int(ids[x]), int(ids[y])))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return meet.groupBy("key", "i", "j").applyInArrow(join, "u long, v long")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``u, v, linked`` for pairs ``(u, v)`` of ids, by the full shingle sets of their texts."""
     left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
@@ -135,35 +197,34 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     """
     signed = cut(_signed(docs, shingle, MinMax(bands, rows, seed)))
     ids = signed.where("doc_id is not null and digest is not null")
-    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.min_by("keys", "doc_id").alias("keys"))
-    buckets = classes.select("class_id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "class_id")
+    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"), F.min_by("keys", "doc_id").alias("keys"))
+    buckets = classes.select("class_id", "size", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "class_id", "size")
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(buckets.join(shared, "key").select("key", F.col("class_id").alias("id"), "n"))
+    met = cut(buckets.join(shared, "key").select("key", F.col("class_id").alias("id"), "size", "n"))
     degree = met.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
     by_degree = Window.partitionBy("key").orderBy(F.desc("degree"), "id")
-    met = cut(met.join(degree, "id").select("key", "id", "n", F.row_number().over(by_degree).alias("rank")))
+    members = cut(met.join(degree, "id").select("key", "id", "size", "n", F.row_number().over(by_degree).alias("rank")))
     # the texts of what shares a bucket at all, once
     texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(degree.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
-    component = degree.select("id", F.col("id").alias("comp")).limit(0)
-    links, refused, low = None, None, 1
-    while True:
-        members = met.join(component, "id", "left").select("key", "id", "rank", F.coalesce("comp", "id").alias("comp"))
-        split = members.groupBy("key").agg(F.max("rank").alias("last"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(f"c0 <> c1 and last > {low}")
-        open_ = members.join(split.select("key"), "key", "left_semi") if low > 1 else members
-        pivots = open_.where(F.col("rank").between(low, 2 * low - 1)).select("key", F.col("id").alias("p"), F.col("rank").alias("p_rank"), F.col("comp").alias("p_comp"))
-        pairs = open_.join(pivots, "key").where("rank > p_rank and comp <> p_comp").select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v"))
-        pairs = pairs.where("u <> v").distinct()
-        if refused is not None:
-            pairs = pairs.join(refused, ["u", "v"], "left_anti")
-        judged = cut(_confirmed(pairs, texts, shingle, percent).groupBy("u", "v").agg(F.max("linked").alias("linked")))
-        found, no = judged.where("linked").select("u", "v"), judged.where("not linked").select("u", "v")
-        links = found if links is None else links.unionByName(found)
-        refused = no if refused is None else refused.unionByName(no)
+
+    pivots = members.where("rank = 1").select("key", F.col("id").alias("p"), F.col("size").alias("p_size"))
+    first = members.where("rank > 1").join(pivots, "key").where(_may_link("size", "p_size", percent)).select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v"))
+    judged = cut(_confirmed(first.distinct(), texts, shingle, percent))
+    links = judged.where("linked").select("u", "v").distinct()
+    component = cut(connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp")))
+
+    placed = members.join(component, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    open_ = cut(placed.where("n > 2").join(split.select("key"), "key", "left_semi"))
+    small = open_.where(F.col("n") <= SMALL)
+    others = small.select("key", F.col("id").alias("p"), F.col("size").alias("p_size"), F.col("rank").alias("p_rank"), F.col("comp").alias("p_comp"))
+    may = (F.col("rank") > F.col("p_rank")) & (F.col("p_rank") > 1) & (F.col("comp") != F.col("p_comp")) & _may_link("size", "p_size", percent)
+    second = small.join(others, "key").where(may).select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
+    second = _confirmed(second.join(judged.select("u", "v"), ["u", "v"], "left_anti"), texts, shingle, percent).where("linked").select("u", "v")
+    more = cut(second.unionByName(_joined_by_blocks(open_.where(F.col("n") > SMALL), texts, shingle, percent)).distinct())
+    if more.limit(1).count():
+        links = links.unionByName(more)
         component = cut(connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp")))
-        low *= 2
-        members = met.join(component, "id", "left").select("key", "rank", F.coalesce("comp", "id").alias("comp"))
-        if not members.groupBy("key").agg(F.max("rank").alias("last"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(f"c0 <> c1 and last > {low}").limit(1).count():
-            break
     of_class = ids.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     found = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     # an id on rows of different texts is one document: its classes meet
