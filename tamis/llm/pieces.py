@@ -30,7 +30,7 @@ MARK = "▁"
 #: Characters up to which a unit is worked off side by side with others.
 WIDE = 32
 #: Characters of texts, and units, that are worked on in one go.
-SLICE_CHARS, SLICE_UNITS = 1 << 20, 1 << 17
+SLICE_CHARS, SLICE_UNITS = 1 << 18, 1 << 16
 _GOLDEN, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _M64 = (1 << 64) - 1
 _NONE = np.int64(1 << 62)
