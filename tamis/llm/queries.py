@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import langid, minhash, mixing, pieces, secrets
+from tamis.llm import chunks, langid, minhash, mixing, pieces, secrets
 
 #: The vocabulary that op1 and the last stage of the pipeline encode with.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,6 +32,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against those of its edited text and of the next document."""
+    return chunks.probe(_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
@@ -43,5 +48,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_mixing, op6_langid, op9_secrets, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_mixing, op6_langid, op7_chunks, op9_secrets, op10_minhash)}
 ORACLES: dict[str, str] = {}
