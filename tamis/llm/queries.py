@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import chunks, langid, minhash, mixing, pieces, secrets
+from tamis.llm import chat, chunks, langid, minhash, mixing, pieces, secrets, warc
+from tamis.llm.common import shared_dir
 
 #: The vocabulary that op1 and the last stage of the pipeline encode with.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -22,6 +23,29 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL_
     return text.select("doc_id", "n_tokens", "ids", F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def chat_digests(formatted: Column) -> list[Column]:
+    """The digests of a formatted conversation, all read back from its text."""
+    turns = chat.parse(formatted)
+    all_text = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join(F.transform(F.filter(turns, lambda t: t["learnt"]), lambda t: t["text"]), "")
+    return [
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(all_text, 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length(formatted).cast("long").alias("formatted_chars"),
+    ]
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that holds another template's control strings, formatted and read back."""
+    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{odd}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    d = d.unionByName(more).withColumn("parts", chat.text_part(F.col("text")))
+    return chat.format_chat(d).select("conv_id", *chat_digests(F.col("formatted")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with weights 5, 2, 1 to 150 % of their words."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "quota", "full", "cut_words")
@@ -37,6 +61,22 @@ def op7_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.probe(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records to the shared folder and read back by byte ranges."""
+    path = warc.fresh_path(shared_dir(spark))
+    warc.archive(_table(spark, sf_dir, "pages"), path)
+    d = warc.read(spark, path)
+    whole = F.octet_length("payload").cast("long")
+    response = F.col("type") == "response"
+    return d.select(
+        warc.page_id(F.col("record_id")).alias("page_id"),
+        F.when(response, whole).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, warc.sha1_base32(F.col("payload"))).otherwise(F.col("digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        warc.page_id(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
     found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
@@ -48,5 +88,33 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_mixing, op6_langid, op7_chunks, op9_secrets, op10_minhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat, op3_mixing, op6_langid, op7_chunks, op8_warc, op9_secrets, op10_minhash)}
+ORACLES: dict[str, str] = {
+    "op2_chat": r"""
+        WITH m AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+            SELECT *, replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'),
+                '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>') AS escaped
+            FROM m)
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(8 + length(role) + 8 + length(escaped) + 7) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op8_warc": """
+        WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS payload, unhex(sha1(encode(coalesce(html, '')))) AS h FROM pages),
+        bits AS (SELECT page_id, octet_length(payload) AS payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS best FROM d),
+        digits AS (
+            SELECT page_id, payload_bytes, best, list_reduce(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + CAST(CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 1 + 5 * i, 1) AS INT) * 16 + CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 2 + 5 * i, 1) AS INT) * 8
+                + CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 3 + 5 * i, 1) AS INT) * 4 + CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 4 + 5 * i, 1) AS INT) * 2
+                + CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 5 + 5 * i, 1) AS INT) AS INT), 1)), (a, b) -> a || b) AS payload_digest
+            FROM bits)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+            CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> best THEN best END AS refers_to
+        FROM digits""",
+}
