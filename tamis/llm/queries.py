@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm import chat, chunks, langid, minhash, mixing, pieces, secrets, warc
+from tamis.llm import chat, chunks, gridjoin, langid, minhash, mixing, pieces, secrets, urls, warc
 from tamis.llm.common import shared_dir
 
 #: The vocabulary that op1 and the last stage of the pipeline encode with.
@@ -51,6 +51,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "quota", "full", "cut_words")
 
 
+def op4_gridjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.93."""
+    return gridjoin.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+URL_RULES = (
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("allow", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+)
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL by the rules, or by trees trained on the URLs that the rules label."""
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by PPM code lengths."""
     return langid.identify(_table(spark, sf_dir, "documents"))
@@ -88,8 +107,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat, op3_mixing, op6_langid, op7_chunks, op8_warc, op9_secrets, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat, op3_mixing, op4_gridjoin, op5_urls, op6_langid, op7_chunks, op8_warc, op9_secrets, op10_minhash)}
 ORACLES: dict[str, str] = {
+    "op4_gridjoin": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach AS (SELECT vec_id AS i, vec_id AS j FROM embeddings UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+        found AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
+        SELECT vec_id, (SELECT count(*) FROM links WHERE i = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN found ON i = vec_id""",
     "op2_chat": r"""
         WITH m AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
