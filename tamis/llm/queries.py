@@ -112,8 +112,8 @@ ORACLES: dict[str, str] = {
     "op4_gridjoin": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings
-            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                AND len(list_filter(embedding, x -> x <> 0)) > 0),
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         links AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
         reach AS (SELECT vec_id AS i, vec_id AS j FROM embeddings UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
         found AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
@@ -137,10 +137,10 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS payload, unhex(sha1(encode(coalesce(html, '')))) AS h FROM pages),
         bits AS (SELECT page_id, octet_length(payload) AS payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS best FROM d),
         digits AS (
-            SELECT page_id, payload_bytes, best, list_reduce(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            SELECT page_id, payload_bytes, best, list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 1 + CAST(CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 1 + 5 * i, 1) AS INT) * 16 + CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 2 + 5 * i, 1) AS INT) * 8
                 + CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 3 + 5 * i, 1) AS INT) * 4 + CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 4 + 5 * i, 1) AS INT) * 2
-                + CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 5 + 5 * i, 1) AS INT) AS INT), 1)), (a, b) -> a || b) AS payload_digest
+                + CAST(substr(CAST(CAST(h AS BIT) AS VARCHAR), 5 + 5 * i, 1) AS INT) AS INT), 1)), lambda a, b: a || b) AS payload_digest
             FROM bits)
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
             CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
