@@ -30,7 +30,9 @@ MARK = "▁"
 #: Characters up to which a unit is worked off side by side with others.
 WIDE = 32
 #: Characters of texts, and units, that are worked on in one go.
-SLICE_CHARS, SLICE_UNITS = 1 << 18, 1 << 16
+SLICE_CHARS, SLICE_UNITS = 1 << 19, 1 << 16
+#: Rows of an Arrow batch that are encoded and returned at once.
+SLICE_ROWS = 1024
 _GOLDEN, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _M64 = (1 << 64) - 1
 _NONE = np.int64(1 << 62)
@@ -311,14 +313,16 @@ def encode(docs: DataFrame, model_file: str, *, dropout: float = 0.1, seed: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file, dropout, seed)
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = own.encode(texts, [own.key(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), texts)])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate([np.zeros(0, np.int32), *ids])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
-            first = [batch.column(c) for c in ("doc_id", *keep)]
-            yield pa.RecordBatch.from_arrays([*first, lists, pa.array(sizes)], ["doc_id", *keep, "ids", "n_tokens"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(lo, SLICE_ROWS)
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                ids = own.encode(texts, [own.key(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), texts)])
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                flat = np.concatenate([np.zeros(0, np.int32), *ids])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
+                first = [batch.column(c) for c in ("doc_id", *keep)]
+                yield pa.RecordBatch.from_arrays([*first, lists, pa.array(sizes)], ["doc_id", *keep, "ids", "n_tokens"])
 
     return d.mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long")
 
