@@ -1,4 +1,11 @@
 """Every query of the engine by name, and the DuckDB SQL that must return the same rows."""
 
+from __future__ import annotations
+
+from tamis.plans import detection
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (detection,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
