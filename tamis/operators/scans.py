@@ -101,7 +101,7 @@ def space_stats(events: DataFrame) -> DataFrame:
 
 def duration_ms(started: Column, finished: Column) -> Column:
     """Null while it runs."""
-    return F.unix_millis(finished) - F.unix_millis(started)
+    return F.unix_millis(finished.cast("timestamp")) - F.unix_millis(started.cast("timestamp"))
 
 
 def chars_per_second(chars: Column, busy_ms: Column) -> Column:
