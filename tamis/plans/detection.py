@@ -11,6 +11,7 @@ from tamis.functions import validators as V
 from tamis.operators import config as C
 from tamis.operators import postfilter as PF
 from tamis.operators import spans as S
+from tamis.sources.files import spread
 
 QUERIES, ORACLES = {}, {}
 
@@ -30,7 +31,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "source")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
 
 
 def _quoted(s: str) -> str:
@@ -87,9 +88,14 @@ def merged_spans(spark, sf):
     return d.withColumn("spans", S.merge(S.detect(F.col("text")), S.detect(F.col("text"), R.ENTITY_RULES)))
 
 
+def each_span(d: DataFrame, *columns: str) -> DataFrame:
+    """A row ``x`` for each span. The outer form keeps Spark from testing for empty lists below, where it would detect twice."""
+    return d.select(*columns, F.explode_outer("spans").alias("x")).where("x is not null")
+
+
 def exploded(d: DataFrame) -> DataFrame:
     own = [F.col(f"x.{c}") for c in ("start", "end", "pii_type", "text", "score")]
-    return d.select("doc_id", "source", F.explode("spans").alias("x")).select("doc_id", "source", *own, F.col("x.source").alias("detector"))
+    return each_span(d, "doc_id", "source").select("doc_id", "source", *own, F.col("x.source").alias("detector"))
 
 
 def _rows(d: DataFrame) -> DataFrame:
@@ -152,13 +158,13 @@ def agg18_funnel(spark, sf):
 @query(f"WITH {SQL_MERGED} SELECT doc_id, s AS start, pii_type, det AS source FROM merged m WHERE {C.sql_gate('m')}")
 def flt01_gated_spans(spark, sf):
     d = merged_spans(spark, sf).withColumn("spans", C.gate(F.col("spans"), R.TYPE_CONFIG))
-    return d.select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.start", "x.pii_type", "x.source")
+    return each_span(d, "doc_id").select("doc_id", "x.start", "x.pii_type", "x.source")
 
 
 @query(f"WITH {SQL_MERGED} SELECT doc_id, s AS start, pii_type, det AS source FROM merged m WHERE {C.sql_gate('m')}")
 def join01_gated_by_join(spark, sf):
     """The same gate as a join with the configuration table, for tables of many rows."""
-    spans = merged_spans(spark, sf).select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.*")
+    spans = each_span(merged_spans(spark, sf), "doc_id").select("doc_id", "x.*")
     return C.gate_join(spans, C.config_table(spark, R.TYPE_CONFIG)).select("doc_id", "start", "pii_type", "source")
 
 
@@ -179,13 +185,13 @@ def msk01_masked_documents(spark, sf):
         ELSE substr(text, CAST(nl AS INT) + 1, CASE WHEN after = 0 THEN length(text) ELSE CAST(e AS INT) + after - 1 END - CAST(nl AS INT)) END AS context FROM l"""
 )
 def ctx02_line_contexts(spark, sf):
-    d = regex_spans(spark, sf).select("doc_id", "text", F.explode("spans").alias("x"))
+    d = each_span(regex_spans(spark, sf), "doc_id", "text")
     return d.select("doc_id", "x.start", S.sensitive_context(F.col("text"), F.col("x")).alias("context"))
 
 
 @query()
 def ctx01_masked_contexts(spark, sf):
-    d = regex_spans(spark, sf).select("doc_id", "text", "spans", F.explode("spans").alias("x"))
+    d = each_span(regex_spans(spark, sf), "doc_id", "text", "spans")
     return d.select("doc_id", "x.start", S.masked_context(F.col("text"), F.col("x"), F.col("spans")).alias("context"), S.masked_content(F.col("text"), F.col("spans"), 500).alias("preview"))
 
 
@@ -216,7 +222,7 @@ def txt02_html_sniff(spark, sf):
 
 @query()
 def txt01_page_texts(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.clean(F.col("html")).alias("text"))
+    return spread(table(spark, sf, "pages")).select("page_id", T.clean(F.col("html")).alias("text"))
 
 
 @query(
@@ -265,8 +271,8 @@ def pf_format_rules(spark, sf):
     f"""WITH {SQL_MERGED} SELECT doc_id, count(*) AS kept, CAST(0 AS BIGINT) AS discarded FROM merged GROUP BY doc_id"""
 )
 def pf00_split_spans(spark, sf):
-    d = merged_spans(spark, sf).where(F.size("spans") > 0).withColumn("f", PF.split(F.col("spans")))
-    return d.select("doc_id", F.size("f.kept").cast("long").alias("kept"), F.size("f.discarded").cast("long").alias("discarded"))
+    d = each_span(merged_spans(spark, sf), "doc_id").withColumn("reason", PF.reject_reason(F.col("x.text"), F.col("x.pii_type")))
+    return d.groupBy("doc_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("discarded"))
 
 
 LABEL_CASES = ("phoneNumber", "Full Name", "e-mail", "IBANCode", "__x__", "", "Already_normal", "A1B2")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tamis.operators import model
 from tamis.plans.detection import ORACLES as DETECTION
-from tamis.plans.detection import documents, table
+from tamis.plans.detection import documents, each_span, table
 from tamis.streaming import scan
 
 QUERIES, ORACLES = {}, {}
@@ -35,7 +35,7 @@ def _stub(text: str) -> str:
 
 def det05_model_spans(spark, sf):
     found = model.detect_with(documents(spark, sf), _stub, {"Event Date": "DATE", "IP": "IP_ADDRESS"})
-    return found.select("doc_id", F.explode("spans").alias("x")).select("doc_id", "x.start", "x.end", "x.pii_type", "x.text")
+    return each_span(found, "doc_id").select("doc_id", "x.start", "x.end", "x.pii_type", "x.text")
 
 
 QUERIES |= {f.__name__: f for f in (stream_regex_spans, stream_event_dedup, det05_model_spans)}

@@ -17,6 +17,19 @@ SAMPLE = "timestamp string, label string, scan_id string, space_key string, page
 REPORT = ("space_key", "page_id", "page_title", "attachment_name", "pii_type", "severity", "masked_context", "score")
 
 
+def spread(d: DataFrame) -> DataFrame:
+    """``d`` over all cores where its files are too few or small to be; as it is where its scan fills them.
+
+    A file of one row group is one task whatever its size in characters. Moving a small table once costs less than
+    scanning its texts on one core; a table of many splits is never shuffled for this.
+    """
+    spark = d.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return d.repartition(cores) if size < cores * split else d
+
+
 def log_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths))
 
