@@ -14,7 +14,7 @@ SNIFFED_TAGS = "<p <div <br <html <body <h1 <h2 <li <table".split()
 AFTER = "br div section article tr header footer nav aside".split()
 AROUND = "p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre".split()
 BEFORE = "li dt dd".split()
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
 
 
 def is_html(text: Column) -> Column:
@@ -42,8 +42,8 @@ def html_to_text(html: Column) -> Column:
     t = F.regexp_replace(t, r"<[!/?a-zA-Z][^>]*>", "")
     for name, char in ENTITIES.items():
         t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(t, f"[  ]*{mark}[  ]*", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, "\n{2,}", "\n\n"), "[  ]{2,}", " ")
+    t = F.regexp_replace(t, f"[\\u00a0 ]*{mark}[\\u00a0 ]*", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, "\n{2,}", "\n\n"), "[\\u00a0 ]{2,}", " ")
     return F.regexp_replace(t, "^[ \n]+|[ \n]+$", "")
 
 
