@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tamis.plans import detection, reporting, streams
+from tamis.plans import catalogue, detection, reporting, streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (detection, reporting, streams):
+for _module in (detection, reporting, catalogue, streams):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
