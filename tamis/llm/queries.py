@@ -109,6 +109,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_chat, op3_mixing, op4_gridjoin, op5_urls, op6_langid, op7_chunks, op8_warc, op9_secrets, op10_minhash)}
 ORACLES: dict[str, str] = {
+    "op10_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s
+            FROM w WHERE len(w) > 0),
+        e AS (SELECT doc_id, unnest(s) AS g FROM s),
+        shared AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT i, j FROM shared JOIN s a ON a.doc_id = i JOIN s b ON b.doc_id = j WHERE 100 * c >= 80 * (len(a.s) + len(b.s) - c)),
+        reach AS (SELECT doc_id AS i, doc_id AS j FROM documents UNION SELECT r.i, l.j FROM reach r JOIN links l ON r.j = l.i),
+        found AS (SELECT i, min(j) AS component_id FROM reach GROUP BY i)
+        SELECT d.doc_id, CAST(coalesce(len(s.s), 0) AS BIGINT) AS n_shingles, CASE WHEN s.s IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY s.s) END AS class_id,
+            component_id, d.doc_id = component_id AS kept
+        FROM documents d LEFT JOIN s USING (doc_id) JOIN found ON i = d.doc_id""",
     "op4_gridjoin": """
         WITH RECURSIVE v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings
