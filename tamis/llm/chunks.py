@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tamis.llm.common import small_batches
+
 LEAST, NORMAL, MOST = 8, 32, 128
 _WINDOW = 32
 #: Code points that are hashed in one go.
@@ -147,6 +149,7 @@ def probe(docs: DataFrame) -> DataFrame:
     Null texts are empty. Null ids come first. Rows that repeat an id stand by text. One row is its own next. An empty
     table gives an empty result. Other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spread = F.xxhash64("text")  # an id with very many rows is still many ranges
     d = d.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread, "text").withColumn("part", F.spark_partition_id())

@@ -25,6 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Rows of whole texts that Spark hands to a Python worker at once, unless the session says otherwise.
+TEXT_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of whole texts, which both sides of the socket hold, if the session has Spark's default.
+
+    The setting has no effect on results. It stays for the session, as plans are made when they run.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, with no lineage: lost executors don't bring its plan back."""
     shared_dir(df.sparkSession)

@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tamis.llm.common import small_batches
+
 UNDETERMINED = "und"
 #: Bytes of all texts that are scored in one go.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def _fold_table() -> np.ndarray:
@@ -215,6 +217,7 @@ def identify(docs: DataFrame, *, rows_per_lang: int = 400, order: int = 4, seed:
     ignored, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text", "lang", *[c for c in keep if c not in ("doc_id", "text", "lang")])
     samples = training_sample(docs.where(~held_out(F.col("doc_id"))), rows_per_lang, seed)
     model = spark.sparkContext.broadcast(train(samples, order) if samples else None)

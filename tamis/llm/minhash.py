@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamis.llm.common import connected_components, cut
+from tamis.llm.common import connected_components, cut, small_batches
 
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Members up to which a bucket's pairs are written out.
@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     link what any of them links. Rows without an id link with nothing, have no component and are kept. Other columns
     are ignored, whatever their names. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     signed = cut(_signed(docs, shingle, MinMax(bands, rows, seed)))
     ids = signed.where("doc_id is not null and digest is not null")
     classes = ids.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"), F.min_by("keys", "doc_id").alias("keys"))

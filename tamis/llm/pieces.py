@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.common import small_batches
+
 MARK = "▁"
 #: Characters up to which a unit is worked off side by side with others.
 WIDE = 32
@@ -308,6 +310,7 @@ def encode(docs: DataFrame, model_file: str, *, dropout: float = 0.1, seed: int
     with the longest text only. ``model_file`` is a path that every executor has.
     """
     keep = tuple(c for c in keep if c not in ("doc_id", "text"))
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text", *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "text")
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.common import small_batches
+
 KINDS = ("assign", "access", "hex", "lex")
 SPAN = "struct<kind string, start long, end long, secret_start long, score double, name string>"
 
@@ -143,12 +145,15 @@ def scan_secrets(docs: DataFrame, *, threshold: float = 0.5, keep: tuple[str, ..
     Null and empty texts have no spans. Repeated rows and ties are scanned alike, each for itself; a null id is kept.
     A text is lexed in one pass whose memory grows with that text only. Other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", *[c for c in keep if c != "doc_id"], spans_of(F.col("text"), threshold).alias("spans"))
 
 
 def redact(docs: DataFrame, *, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret replaced by ``mask`` (names and operators stay), and n_chars, where there is one, made true."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([_masked(t, threshold, mask) for t in texts], dtype=object)
