@@ -14,9 +14,14 @@ SNIFFED_TAGS = "<p <div <br <html <body <h1 <h2 <li <table".split()
 AFTER = "br div section article tr header footer nav aside".split()
 AROUND = "p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre".split()
 BEFORE = "li dt dd".split()
+LINE_TAGS = "p div section article header footer nav aside blockquote pre table ul li ol dl dt dd tr td th".split()  # and h with a digit
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&amp;": "&"}
 
 
+#: What ends a line of a page: a tag whose name begins like one of these, a line break, a line feed.
+LINE_BREAK = rf"(?i:</?(?:{'|'.join(LINE_TAGS)}|h[0-9])[^>]*>|<br/?>)|\n"
+
+
 def is_html(text: Column) -> Column:
     """At least ten characters, and in the first thousand an angle bracket of each kind and the start of a known tag."""
     head = F.lower(F.substring(text, 1, 1000))

@@ -131,6 +131,28 @@ def reporting_summary(events: DataFrame, states: DataFrame, severities: DataFram
     return s.select(*KEY, presentation_status(F.col("status"), F.col("pages_done"), F.col("attachments_done")).alias("status"), "progress", zero("pages_done"), zero("attachments_done"), "last_event_ts", zero("high"), zero("medium"), zero("low"))
 
 
+def scan_summary(events: DataFrame, states: DataFrame, scan_id: str) -> DataFrame:
+    """One scan's spaces that have events: their counters with the checkpoint of that scan, if there is one."""
+    own = F.col("scan_id") == scan_id
+    s = space_counters(events.where(own)).join(states.where(own).select(*KEY, "status", "progress"), KEY, "left")
+    status = presentation_status(F.col("status"), F.col("pages_done"), F.col("attachments_done"))
+    return s.select("space_key", status.alias("status"), "progress", "pages_done", "attachments_done", "last_event_ts")
+
+
+def stream_order(items: DataFrame) -> DataFrame:
+    """Items (``scan_id, idx, event_type, event_seq``) numbered as a scan emits them: start, pages in order with their attachments first, complete."""
+    kind = F.col("event_type")
+    stage = F.when(kind == "start", 0).when(kind == "complete", 2).otherwise(1)
+    part = F.when(kind == "pageStart", 0).when(kind == "attachmentItem", 1).when(kind == "pageComplete", 3).otherwise(2)
+    order = Window.partitionBy("scan_id").orderBy(stage, F.when(stage == 1, F.col("idx")), part, "event_seq")
+    return items.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+
+
+def unexpired(ended: DataFrame, now: Column, hours: int = 1) -> DataFrame:
+    """Managed scans (``finished_at``, null while they run) that a clean-up at a time leaves."""
+    return ended.where(F.col("finished_at").isNull() | (F.col("finished_at") + F.make_interval(hours=F.lit(hours)) >= now))
+
+
 def latest_items(events: DataFrame, states: DataFrame) -> DataFrame:
     """Item events of each space's latest scan."""
     return events.where(F.col("event_type").isin("item", "attachmentItem")).join(latest_checkpoints(states).select(*KEY), KEY)

@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tamis.functions.rules import PRIORITY, REGEX_RULES, SEVERITY, SEVERITY_RANK, Rule
+from tamis.functions.text import LINE_BREAK, is_html
 from tamis.functions.validators import CHECKS
 
 SPAN = "struct<start:int,end:int,pii_type:string,text:string,score:double,source:string,priority:int,ord:int>"
@@ -128,15 +129,18 @@ def masked_content(text: Column, spans: Column, longest: int) -> Column:
 
 
 def line_start(text: Column, position: Column) -> Column:
-    """After the last line feed at or before a position (as before it, if it is one)."""
+    """After the last line feed before a position; in a page, after the last block tag if that is later."""
     before = F.substr(text, F.lit(1), F.least(F.greatest(position, F.lit(0)), F.length(text)))
-    return F.length(before) - F.length(F.substring_index(before, "\n", -1))
+    after_tag = F.regexp_extract(before, rf"(?s)^(?:.*(?:{LINE_BREAK}))?(.*)$", 1)
+    return F.length(before) - F.length(F.when(is_html(text), after_tag).otherwise(F.substring_index(before, "\n", -1)))
 
 
 def line_end(text: Column, position: Column) -> Column:
-    """The next line feed at or after a position, else the end."""
-    at = F.position(F.lit("\n"), text, F.least(F.greatest(position, F.lit(0)), F.length(text)) + 1)
-    return F.when(at > 0, at - 1).otherwise(F.length(text))
+    """The next line feed at or after a position, or block tag in a page, else the end."""
+    safe = F.least(F.greatest(position, F.lit(0)), F.length(text))
+    at = F.position(F.lit("\n"), text, safe + 1)
+    plain = F.when(at > 0, at - 1).otherwise(F.length(text))
+    return F.when(is_html(text), safe + F.length(F.split(F.substr(text, safe + 1), LINE_BREAK, 2)[0])).otherwise(plain)
 
 
 def sensitive_context(text: Column, span: Column) -> Column:
@@ -159,6 +163,17 @@ def masked_context(text: Column, span: Column, spans: Column) -> Column:
     return F.when(F.trim(text) != "", F.aggregate(F.array_sort(local), start, step, ended))
 
 
+def enriched(text: Column, spans: Column) -> Column:
+    """Spans with ``masked_context`` and ``sensitive_context`` (fields they have already) filled in; one that has either stays as it is."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+
+    def fill(s: Column) -> Column:
+        new = s.withField("masked_context", masked_context(text, s, spans)).withField("sensitive_context", sensitive_context(text, s))
+        return F.when(blank(s["masked_context"]) & blank(s["sensitive_context"]), new).otherwise(s)
+
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", spans).otherwise(F.transform(spans, fill))
+
+
 def redact(value: Column) -> Column:
     """A value's first eight digits of SHA-256 and its length."""
     return F.when(F.coalesce(value, F.lit("")) == "", "<empty>").otherwise(F.concat(F.lit("sha256="), F.substring(F.sha2(value, 256), 1, 8), F.lit(", length="), F.length(value)))

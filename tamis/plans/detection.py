@@ -189,6 +189,43 @@ def ctx02_line_contexts(spark, sf):
     return d.select("doc_id", "x.start", S.sensitive_context(F.col("text"), F.col("x")).alias("context"))
 
 
+@query(
+    f"""WITH {SQL_REGEX} SELECT doc_id, s AS start, CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE substr(text, a + 1, b - a) END AS context
+    FROM (SELECT doc_id, s, text, s - length(regexp_extract(substr(text, 1, s), '[^\n]*$')) AS a, e + length(regexp_extract(substr(text, e + 1), '^[^\n]*')) AS b FROM regex JOIN documents USING (doc_id))"""
+)
+def ctx03_enriched(spark, sf):
+    """Spans of every second document have a context already, which stays."""
+    given = F.when(F.col("doc_id") % 2 == 0, "kept")
+    spans = F.transform("spans", lambda s: s.withField("masked_context", F.lit(None).cast("string")).withField("sensitive_context", given))
+    d = regex_spans(spark, sf).withColumn("spans", spans).withColumn("spans", S.enriched(F.col("text"), F.col("spans")))
+    return each_span(d, "doc_id").select("doc_id", "x.start", F.col("x.sensitive_context").alias("context"))
+
+
+@query(
+    """SELECT * FROM (VALUES (0, 0, 0, 15), (1, 6, 3, 10), (2, 16, 13, 16), (3, 9, 6, 13), (4, 7, 2, 9)) AS t(id, place, a, b)"""
+)
+def txt04_html_lines(spark, sf):
+    """Bounds of the line around a place of a page, and of plain texts."""
+    rows = [(0, "plain <b>, text", 0), (1, "<p>one two</p><br/>", 6), (2, "<h1>a</h1><p>b c</P>d", 16), (3, "<div>\nab \U0001f600 cd<li>", 9), (4, "a\nb < c d", 7)]
+    d = _values(spark, rows, "id int, text string, place int")
+    return d.select("id", "place", S.line_start(F.col("text"), F.col("place")).alias("a"), S.line_end(F.col("text"), F.col("place")).alias("b"))
+
+
+@query("SELECT page_id, CASE WHEN length(trim(html)) = 0 OR html IS NULL THEN 0 ELSE NULL END AS spans FROM pages WHERE length(trim(coalesce(html, ''))) = 0")
+def txt07_blank_pages(spark, sf):
+    """Blank pages are items without findings."""
+    d = table(spark, sf, "pages").where(F.trim(F.coalesce("html", F.lit(""))) == "")
+    return d.select("page_id", F.coalesce(F.size(S.detect(F.col("html"))), F.lit(0)).alias("spans"))
+
+
+@query(f"WITH {SQL_MERGED} SELECT DISTINCT pii_type, det AS source FROM every")
+def set01_found_types(spark, sf):
+    """Types found by either detector: the union of both, without repetitions."""
+    d = documents(spark, sf)
+    found = d.select(S.detect(F.col("text")).alias("spans")).unionByName(d.select(S.detect(F.col("text"), R.ENTITY_RULES).alias("spans")))
+    return found.select(F.explode("spans").alias("x")).select("x.pii_type", "x.source").distinct()
+
+
 @query()
 def ctx01_masked_contexts(spark, sf):
     d = each_span(regex_spans(spark, sf), "doc_id", "text", "spans")

@@ -128,6 +128,29 @@ def agg14_global_summary(spark, sf):
     return S.reporting_summary(e, states(spark, sf), e.groupBy(*S.KEY).agg(n(3, "high"), n(2, "medium"), n(1, "low")))
 
 
+@query(
+    f"""WITH {SQL_STATES}, c AS (SELECT scan_id, space_key, count(*) FILTER (WHERE event_type = 'pageComplete') AS pages_done, count(*) FILTER (WHERE event_type = 'attachmentItem') AS attachments_done, max(ts) AS last_event_ts FROM ev WHERE scan_id = 'scan1' GROUP BY ALL)
+    SELECT space_key, coalesce(status, CASE WHEN pages_done + attachments_done > 0 THEN 'PAUSED' ELSE 'NOT_STARTED' END) AS status, progress, pages_done, attachments_done, last_event_ts FROM c LEFT JOIN st USING (scan_id, space_key)"""
+)
+def join02_scan_summary(spark, sf):
+    return S.scan_summary(store(spark, sf), states(spark, sf), "scan1")
+
+
+@query(
+    f"""WITH {SQL_EVENTS} SELECT scan_id, event_seq, row_number() OVER (PARTITION BY scan_id ORDER BY CASE event_type WHEN 'start' THEN 0 WHEN 'complete' THEN 2 ELSE 1 END,
+        CASE WHEN event_type NOT IN ('start', 'complete') THEN CAST(substr(page_id, 2) AS BIGINT) END, CASE event_type WHEN 'attachmentItem' THEN 1 WHEN 'pageComplete' THEN 3 ELSE 2 END, event_seq) - 1 AS position FROM ev"""
+)
+def stt08_stream_order(spark, sf):
+    return S.stream_order(store(spark, sf).withColumn("idx", F.substr("page_id", F.lit(2)).cast("long"))).select("scan_id", "event_seq", "position")
+
+
+@query(f"WITH {SQL_EVENTS}, f AS (SELECT scan_id, space_key, max(ts) FILTER (WHERE event_type = 'complete') AS finished_at FROM ev GROUP BY ALL) SELECT * FROM f WHERE finished_at IS NULL OR finished_at + INTERVAL 1 HOUR >= TIMESTAMP '2024-01-25 00:00:00'")
+def stt11_unexpired(spark, sf):
+    e = store(spark, sf)
+    now = F.lit("2024-01-25 00:00:00").cast(e.schema["ts"].dataType)
+    return S.unexpired(S.space_stats(e).select("scan_id", "space_key", "finished_at"), now)
+
+
 @query(f"WITH {SQL_STATES} SELECT ev.scan_id, ev.space_key, event_seq FROM ev JOIN latest USING (scan_id, space_key) WHERE event_type IN ('item', 'attachmentItem')")
 def join04_latest_items(spark, sf):
     return S.latest_items(store(spark, sf), states(spark, sf)).select("scan_id", "space_key", "event_seq")
