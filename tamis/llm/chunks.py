@@ -152,7 +152,8 @@ def probe(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spread = F.xxhash64("text")  # an id with very many rows is still many ranges
-    d = d.repartitionByRange("doc_id", spread).sortWithinPartitions("doc_id", spread, "text").withColumn("part", F.spark_partition_id())
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not coalesced, so all reads see the same ranges
+    d = d.repartitionByRange(ranges, "doc_id", spread).sortWithinPartitions("doc_id", spread, "text").withColumn("part", F.spark_partition_id())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None

@@ -84,6 +84,23 @@ def test_next_goes_round(spark, n):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows)
 
 
+def test_long_texts_come_back_once(spark):
+    """Ranges of several MB under many cores, which Spark would coalesce one way for the walk and another for the ends."""
+    rng = random.Random(3)
+    seeds = [text(rng, 100_000, "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(7)]
+    docs = spark.createDataFrame([(i, seeds[i % 7][i * 37 :] + seeds[i % 7][: i * 37]) for i in range(300)], "doc_id long, text string").repartition(12)
+    conf = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.minPartitionNum": "12"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = [r.doc_id for r in chunks.probe(docs).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(got) == list(range(300))
+
+
 def test_awkward_rows(spark):
     docs = h.awkward_documents(spark)
     got = chunks.probe(docs).collect()
