@@ -27,8 +27,6 @@ MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 #: Bytes of an archive that a task scans, and that it reads at once.
 SPLIT_BYTES, READ_BYTES = 32 << 20, 1 << 20
-#: Bytes of a member in which its record header has to start and end.
-HEADER_BYTES = 64 << 10
 LEVEL = 4
 #: Repeated digests (about 100 bytes each in memory) up to which their table is broadcast.
 BROADCAST_DIGESTS = 100_000
@@ -111,7 +109,7 @@ def _header(data: bytes) -> tuple[dict[str, str], int] | None:
 
 def _member(source: _Source, at: int) -> tuple[dict[str, str] | None, bytes, int] | None:
     """The record in the gzip member at a position (None: an empty member), its block, and the member's end; None if there is no member."""
-    z, out, pos, head = zlib.decompressobj(31), bytearray(), at, None
+    z, out, pos, head, seen = zlib.decompressobj(31), bytearray(), at, None, 0
     step = 4096  # a candidate is judged by its first bytes
     while not z.eof:
         raw = source.get(pos, step)
@@ -124,8 +122,11 @@ def _member(source: _Source, at: int) -> tuple[dict[str, str] | None, bytes, int
         pos += len(raw)
         step = READ_BYTES if head else 4096
         if head is None and out:
-            head = _header(bytes(out[:HEADER_BYTES]))
-            if head is None and (not out.startswith(b"WARC/1."[: len(out)]) or b"\r\n\r\n" in out or len(out) >= HEADER_BYTES):
+            if not out.startswith(b"WARC/1."[: len(out)]):
+                return None
+            stop = out.find(b"\r\n\r\n", max(0, seen - 3))  # a header may be of any length
+            seen = len(out)
+            if stop >= 0 and (head := _header(bytes(out[: stop + 4]))) is None:
                 return None
     end = pos - len(z.unused_data)
     if not out:
@@ -183,7 +184,7 @@ def read(spark: SparkSession, path: str, *, split_bytes: int = SPLIT_BYTES) -> D
                         size = int(f.get("x-payload-length", len(block)))
                         digest = f.get("warc-payload-digest")
                         rows.append((f.get("warc-record-id"), f.get("warc-type"), f.get("warc-target-uri"), f.get("warc-refers-to"), digest and digest.removeprefix("sha1:"), size, block, path, at))
-                        held += len(block)
+                        held += len(block) + len(f.get("warc-target-uri", ""))
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                             rows, held = [], 0

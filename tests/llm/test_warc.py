@@ -78,6 +78,34 @@ def test_false_magic_is_passed_over():
         assert [data.index(record(i)) for i in range(4)] == [x[0] for x in got]
 
 
+def test_headers_of_any_length():
+    rng = random.Random(6)
+    for n in (60_000, 66_000, 200_000, 3_000_000):
+        for uri in ("u" * n, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))):
+            data = b"".join(warc.gzip_member(warc.record_bytes(i, "response", uri, "D", 3, None, b"abc")) for i in ("<r0>", "<r1>"))
+            got = [x for lo in range(0, len(data), 50_000) for x in warc.scan_range(io.BytesIO(data), len(data), lo, lo + 50_000)]
+            assert [(f["warc-record-id"], f["warc-target-uri"] == uri, b) for _, f, b in got] == [("<r0>", True, b"abc"), ("<r1>", True, b"abc")]
+
+
+def test_blank_line_across_two_reads():
+    whole = warc.record_bytes("<r>", "response", "u" * 70_000, "D", 3, None, b"abc")
+    end = whole.index(b"\r\n\r\n")
+    for k in range(5):
+        c = warc.zlib.compressobj(0, warc.zlib.DEFLATED, 31)
+        data = c.compress(whole[: end + k]) + c.flush(warc.zlib.Z_FULL_FLUSH) + c.compress(whole[end + k :]) + c.flush()
+        assert [b for _, _, b in warc.scan_range(io.BytesIO(data), len(data), 0, len(data))] == [b"abc"]
+
+
+def test_long_urls_are_read_back(spark, tmp_path):
+    rng = random.Random(7)
+    long = "data:text/html," + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200_000))
+    rows = [(1, long, "<p>x</p>"), (2, long, "<p>x</p>"), (3, "u", "<p>x</p>"), (4, long, "<p>y</p>")]
+    _, got = read_back(spark, spark.createDataFrame(rows, PAGES).coalesce(1), tmp_path, 1000)
+    got = got.select("*", warc.page_id(got.record_id).alias("page"), warc.page_id(got.refers_to).alias("refers")).collect()
+    assert sorted([(r.page, r.payload_bytes, r.digest, r.type, r.refers) for r in got], key=str) == brute(rows)
+    assert {(r.page, r.uri) for r in got} == {(i, u) for i, u, _ in rows}
+
+
 def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
