@@ -28,9 +28,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of [0-9a-f]+ that is shorter would b
 ASSIGN_STEMS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 OPERATOR = re.compile(r"[=:]")
-TARGET = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]{0,63})["'\]]{0,2}[\x20\t]{0,8}[:=]?$""")
-VALUE = re.compile(r"""[=>]?[\x20\t]{0,8}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|(\$\{[A-Za-z0-9_.\-]{1,64}\}|[^\s"',;(){}\[\]<>]{1,4096}))""")
-REFERENCE = re.compile(r"^\$?\{?([A-Za-z_][A-Za-z0-9_.\-]{0,63})\}?$")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*+")
+# no part has a bound; of an unquoted literal this is the first character, and RUN the whole
+VALUE = re.compile(r"""[=>]?[\x20\t]*+(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|(\$\{[A-Za-z0-9_.\-]++\}|[^\s"',;(){}\[\]<>]))""")
+RUN = re.compile(r"""[^\s"',;(){}\[\]<>]++""")
+#: Operators inside a quoted literal of up to so many characters are part of it; longer ones may be two stray quotes of a long line, so these are read as well.
+CLOSED = 4096
+REFERENCE = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*+)\}?")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: How sensitive a target is by a word of its name.
@@ -41,7 +46,10 @@ SENSITIVE = {
 #: Words that make a `key` a sensitive one.
 KEY_WORDS = {"api", "access", "private", "secret", "signing", "encryption", "auth", "account", "master", "service", "client", "ssh", "aws"}
 NAME_STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth")
-PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]|dummy|redacted|xxxx|\*\*\*|^(?:none|null|true|false|undefined|os\.environ.*|process\.env.*|getenv.*)$")
+PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|your[_-]|dummy|redacted|xxxx|\*\*\*|://|\s")
+#: Characters less one of the longest of them.
+OVERLAP = 10
+NO_LITERAL = re.compile(r"(?i)(?:none|null|true|false|undefined)$|os\.environ|process\.env|getenv")
 
 
 def name_weight(name: str) -> float:
@@ -55,16 +63,28 @@ def name_weight(name: str) -> float:
     return best
 
 
-def literal_weight(value: str) -> float:
-    """0 to 1: how much a literal looks like a secret rather than a word, path or placeholder."""
-    n = len(value)
-    if n < 8 or any(c.isspace() for c in value) or PLACEHOLDER.search(value) or "://" in value:
-        return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
+def literal_weights(text: str, literals: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """0 to 1 for each literal (start, end): how much it looks like a secret rather than a word, path or placeholder.
+
+    Literals that end together (``a=b=c``) are counted from the shortest on, so each character is counted once.
+    """
+    out, end = {}, None
+    for b, a in sorted(((b, a) for a, b in literals), key=lambda x: (x[0], -x[1])):
+        if b != end:
+            end, at, found, counts = b, b, False, Counter()
+        found = found or PLACEHOLDER.search(text, a, min(b, at + OVERLAP)) is not None
+        counts.update(text[a:at])
+        at = a
+        out[a, b] = 0.0 if found or b - a < 8 or NO_LITERAL.match(text, a, b) else _shape_weight(counts, b - a)
+    return out
+
+
+def _shape_weight(counts: Counter, n: int) -> float:
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    kinds = sum((any(c.islower() for c in counts), any(c.isupper() for c in counts), any(c.isdigit() for c in counts), any(not c.isalnum() for c in counts)))
     if kinds < 2 or entropy < 2.5:
         return 0.0
-    if not any(c.isdigit() for c in value):
+    if not any(c.isdigit() for c in counts):
         return 0.5 if kinds >= 3 and entropy >= 3.0 else 0.0
     return min(1.0, 0.4 + entropy / 8 + 0.1 * kinds)
 
@@ -81,22 +101,42 @@ def base_spans(text: str) -> list[tuple]:
     return found
 
 
+def target(text: str, at: int) -> str | None:
+    """The whole name that stands before the operator at a position, possibly in quotes or brackets."""
+    e = at - (text[at - 1 : at] == "\n")
+    e -= text[e - 1 : e] in (":", "=")
+    while e and text[e - 1] in " \t":
+        e -= 1
+    for _ in range(2):
+        e -= text[e - 1 : e] in ('"', "'", "]")
+    s = e
+    while s and text[s - 1] in NAME_CHARS:
+        s -= 1
+    name = NAME.search(text, s, e)
+    return name and name[0]
+
+
 def pairs(text: str) -> list[tuple[str, int, int]]:
     """The name-literal pairs of a text in order: name, start and end of the literal (without quotes)."""
-    out, after = [], 0
+    out, after, run, run_end = [], 0, 0, 0
     for op in OPERATOR.finditer(text):
         at = op.start()
         if at < after or text[at + 1 : at + 2] == "=" and text[at] == "=" or text[at - 1 : at] in ("!", "<", ">", "=") or text.startswith("//", at + 1):
             continue  # inside a literal, a comparison, a URL
-        target = TARGET.search(text, max(0, at - 80), at)
-        if not target:
+        name = target(text, at)
+        if not name:
             continue
         value = VALUE.match(text, at + 1)
         if not value:
             continue
         k = value.lastindex
-        out.append((target[1], value.start(k), value.end(k)))
-        if k < 3:
+        a, b = value.span(k)
+        if k == 3 and b == a + 1:
+            if not run <= a < run_end:  # a run is measured once, however many operators are in it
+                run, run_end = RUN.match(text, a).span()
+            b = run_end
+        out.append((name, a, b))
+        if k < 3 and b - a <= CLOSED:
             after = value.end()
     return out
 
@@ -107,14 +147,18 @@ def lexed_spans(text: str, threshold: float) -> list[tuple]:
     if not any(s in low for s in NAME_STEMS):
         return []
     bound: dict[str, tuple[int, int]] = {}
-    best: dict[tuple[int, int], tuple[float, str]] = {}
+    under: list[tuple[float, str, int, int]] = []
     for name, a, b in pairs(text):
-        ref = REFERENCE.match(text[a:b])
+        ref = REFERENCE.fullmatch(text, a, b)
         if ref and ref[1] in bound:
             a, b = bound[ref[1]]
         bound[name] = (a, b)  # what it stands for was resolved when it was bound
-        weight = name_weight(name)
-        if weight and (score := weight * literal_weight(text[a:b])) >= threshold and score > best.get((a, b), (0.0,))[0]:
+        if weight := name_weight(name):
+            under.append((weight, name, a, b))
+    shapes = literal_weights(text, {x[2:] for x in under})
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+    for weight, name, a, b in under:
+        if (score := weight * shapes[a, b]) >= threshold and score > best.get((a, b), (0.0,))[0]:
             best[a, b] = (score, name)
     return [("lex", a, b, a, s, n) for (a, b), (s, n) in best.items()]
 

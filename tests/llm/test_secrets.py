@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import helpers as h
 import pytest
@@ -49,6 +51,41 @@ def test_lexer_adds_literals_under_sensitive_names():
         assert lexed(text) == [v], text
 
 
+@pytest.mark.parametrize("n", [16, 4096, 4097, 6000, 10_000, 300_000])
+def test_literals_of_any_length_are_whole(n):
+    v = "q7Zp2mK9vX4tB8nW" + "".join(random.Random(n).choices("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789+/", k=n - 16))
+    for text in (f"client_auth={v}", f'client_auth = "{v}"', f"signing_key: '{v}' b", f'"clientCredential": "{v}",', f"x = {v}\ncreds = ${{x}}", f"pwd={v}\nauth={v}"):
+        assert set(lexed(text)) == {v}, text[:40]
+        assert v[-8:] not in secrets._masked(text, 0.5, "[SECRET]")
+
+
+def test_names_and_references_of_any_length():
+    v, long = "q7Zp2mK9vX4tB8nW", "letters" * 30
+    assert lexed(f"private_key_{long} = '{v}'") == [v]
+    assert [x[5] for x in secrets.find_secrets(f"private_key_{long}={v}")] == [f"private_key_{long}"]
+    for ref in (long, f"${long}", f"${{{long}}}"):
+        assert lexed(f"{long} = '{v}'\ncreds = {ref}") == [v]
+    assert lexed(f"creds{' ' * 100}={' ' * 100}{v}") == [v]
+
+
+def test_stray_quotes_of_a_long_line_hide_nothing():
+    v = "q7Zp2mK9vX4tB8nW"
+    assert lexed("note: 'tis " + "word " * 2000 + f"client_auth={v} " + "word " * 2000 + "it's") == [v]
+
+
+def test_weights_of_literals_that_end_together():
+    text = "x=Aq7&auth=none&y=os.environ&pwd=xxx" + "x1Bv&a=q7Zp2mK9vX4t&b=tB8nW3kd"
+    spans = {(a, len(text)) for a in range(len(text))}
+    for (a, b), w in secrets.literal_weights(text, spans).items():
+        assert w == pytest.approx(secrets.literal_weights(text[a:b], {(0, b - a)})[0, b - a])
+
+
+def test_many_operators_in_one_run_take_linear_time():
+    began = time.process_time()
+    assert len(secrets.lexed_spans("auth=Q7z&" * 20_000, 0.5)) > 19_000
+    assert time.process_time() - began < 20
+
+
 def test_lexer_leaves_other_things_alone():
     for text in (
         'title = "q7Zp2mK9vX4tB8nW"', 'pwd = "changeme1234"', "pwd = os.environ['X']", "monkey: q7Zp2mK9vX4tB8nW", "pass: the first of many", "see https://auth.example.com/a1b2c3d4e5f6", "if auth == a1B2c3D4e5F6g7: pass",
