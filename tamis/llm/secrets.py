@@ -1,9 +1,9 @@
 """Secret scans by assignment-aware lexing.
 
 Three base patterns find credential shapes anywhere. Around them, a lexer reads what looks like source or
-configuration syntax (``name = "literal"``, ``name: literal``, ``name := literal``, ``"name" => 'literal'``) into
-name-literal pairs. A literal that is itself a name bound earlier in the text (``x``, ``$x``, ``${x}``) stands for
-that name's literal, through any number of steps. Each literal is then scored by how sensitive the names are that it
+configuration syntax (``name = "literal"``, ``name: literal``, ``name: type = literal``, ``name := literal``,
+``"name" => 'literal'``) into name-literal pairs. A literal that is itself a name bound in the text (``x``, ``$x``,
+``${x}``) stands for that name's literal, through any number of steps: the last one bound before, or else the next. Each literal is then scored by how sensitive the names are that it
 ends up under and by its own shape; those above the threshold are reported where the literal stands.
 """
 
@@ -36,6 +36,8 @@ RUN = re.compile(r"""[^\s"',;(){}\[\]<>]++""")
 #: Operators inside a quoted literal of up to so many characters are part of it; longer ones may be two stray quotes of a long line, so these are read as well.
 CLOSED = 4096
 REFERENCE = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*+)\}?")
+#: What stands between ``name:`` and ``=`` in source with types: words, joined by ``|``, ``&`` or commas.
+TYPE = re.compile(r"""[\x20\t]*+(?:&(?:'[a-z_]+\x20+)?(?:mut\x20+)?)?[A-Za-z0-9_.:?*\[\]<>"']++(?:[\x20\t]*+[|,&][\x20\t]*+[A-Za-z0-9_.:?*\[\]<>"']++)*+[\x20\t]*+""")
 CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 #: How sensitive a target is by a word of its name.
@@ -118,12 +120,19 @@ def target(text: str, at: int) -> str | None:
 
 def pairs(text: str) -> list[tuple[str, int, int]]:
     """The name-literal pairs of a text in order: name, start and end of the literal (without quotes)."""
-    out, after, run, run_end = [], 0, 0, 0
+    out, after, run, run_end, colon = [], 0, 0, 0, None
     for op in OPERATOR.finditer(text):
         at = op.start()
         if at < after or text[at + 1 : at + 2] == "=" and text[at] == "=" or text[at - 1 : at] in ("!", "<", ">", "=") or text.startswith("//", at + 1):
             continue  # inside a literal, a comparison, a URL
-        name = target(text, at)
+        typed = None
+        if text[at] == "=":
+            if colon is not None and TYPE.fullmatch(text, colon + 1, at):
+                typed = target(text, colon)
+            colon = None
+        elif ":" not in (text[at - 1 : at], text[at + 1 : at + 2]):
+            colon = at
+        name = target(text, at) or typed
         if not name:
             continue
         value = VALUE.match(text, at + 1)
@@ -136,6 +145,8 @@ def pairs(text: str) -> list[tuple[str, int, int]]:
                 run, run_end = RUN.match(text, a).span()
             b = run_end
         out.append((name, a, b))
+        if typed and typed != name:
+            out.append((typed, a, b))
         if k < 3 and b - a <= CLOSED:
             after = value.end()
     return out
@@ -146,15 +157,33 @@ def lexed_spans(text: str, threshold: float) -> list[tuple]:
     low = text.lower()
     if not any(s in low for s in NAME_STEMS):
         return []
-    bound: dict[str, tuple[int, int]] = {}
+    found = pairs(text)
+    bound: dict[str, int] = {}
+    waiting: dict[str, list[int]] = {}
+    stands = list(range(len(found)))  # the pair whose literal a pair stands for
+
+    def root(i: int) -> int:
+        while stands[i] != i:
+            stands[i] = i = stands[stands[i]]
+        return i
+
+    for i, (name, a, b) in enumerate(found):
+        if ref := REFERENCE.fullmatch(text, a, b):
+            if ref[1] in bound:
+                stands[i] = bound[ref[1]]
+            else:
+                waiting.setdefault(ref[1], []).append(i)
+        bound[name] = i
+        for j in waiting.pop(name, ()):
+            if root(i) != j:
+                stands[j] = root(i)
     under: list[tuple[float, str, int, int]] = []
-    for name, a, b in pairs(text):
-        ref = REFERENCE.fullmatch(text, a, b)
-        if ref and ref[1] in bound:
-            a, b = bound[ref[1]]
-        bound[name] = (a, b)  # what it stands for was resolved when it was bound
+    for i, (name, a, b) in enumerate(found):
         if weight := name_weight(name):
-            under.append((weight, name, a, b))
+            r = root(i)
+            under.append((weight, name, *found[r][1:]))
+            if r > i and not text.startswith("${", a):
+                under.append((weight, name, a, b))  # bound later only: it may be a literal that looks like that name
     shapes = literal_weights(text, {x[2:] for x in under})
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for weight, name, a, b in under:

@@ -73,6 +73,25 @@ def test_stray_quotes_of_a_long_line_hide_nothing():
     assert lexed("note: 'tis " + "word " * 2000 + f"client_auth={v} " + "word " * 2000 + "it's") == [v]
 
 
+def test_typed_names():
+    v = "q7Zp2mK9vX4tB8nW"
+    for text in (
+        f'private_key: str = "{v}"', f'privateKey: string | null = "{v}";', f'val clientAuth: String? = "{v}"', f"let auth_pwd: &'static str = \"{v}\";", f'creds: Optional[str]="{v}"', f'auth: std::string::String = "{v}"',
+        f'x: str = "{v}"\ncreds = x', f"pwd: Dict[str, str] = '{v}'",
+    ):
+        assert lexed(text) == [v], text
+    assert lexed(f"env: CLIENT_AUTH={v}") == [v]
+    assert lexed(f"The bearer: when we set x = {v}") == []
+
+
+def test_references_before_their_definition():
+    v, w = "q7Zp2mK9vX4tB8nW", "Zx81mmQp0aLk3vRt"
+    for text in (f"pwd: ${{DB_X}}\nDB_X={v}", f"pwd = x\nx = '{v}'", f"creds: $A\nA=${{B}}\nB={v}", f"creds: $A\nB={v}\nA=$B", f"pwd: ${{X}}\nX={v}\nX={w}", f"X={v}\npwd: ${{X}}\nX={w}"):
+        assert lexed(text) == [v], text
+    for text in ("pwd: ${A}\nA=${pwd}", "a=$b\nb=$c\nc=$a\npwd=$a", "pwd=$pwd"):
+        assert lexed(text) == [], text
+
+
 def test_weights_of_literals_that_end_together():
     text = "x=Aq7&auth=none&y=os.environ&pwd=xxx" + "x1Bv&a=q7Zp2mK9vX4t&b=tB8nW3kd"
     spans = {(a, len(text)) for a in range(len(text))}
