@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm import langid, minhash, mixing, pieces, secrets
-from tamis.llm.common import shared_dir
+from tamis.llm.common import cut, shared_dir
 from tamis.llm.queries import MODEL_FILE
 
 
@@ -20,10 +20,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (five words, 0.8); of rows that repeat an id, one."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    left = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return left.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each group of near-duplicates stays (five words, 0.8), one of the smallest id; rows without an id all stay.
+
+    Where ids repeat, every row of another text is a document of its own, and of rows with equal id and text the first
+    by the other columns stays. Rows are then numbered by id and text, once, in the shared folder.
+    """
+    own, key = docs.where("doc_id is not null"), "doc_id"
+    if own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        one = own.groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_rest"))
+        order, key = ("doc_id", F.xxhash64("text"), "text"), "_row"
+        own = cut(one.select("doc_id", "text", "_rest.*").repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()))
+    gone = minhash.near_duplicates(own.select(F.col(key).alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return own.join(gone, key, "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
