@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine), a temporary one is set.
+    Where the session names none, a temporary folder is set if driver and executors are one process (tests); a cluster
+    has to name one, as folders of one machine are not seen by the others.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if where is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="tamis-shared-")
         sc.setCheckpointDir(where)
+        spark.conf.set("spark.checkpoint.dir", where)
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -50,25 +55,69 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+#: The caller's columns inside an operator: one struct, so that none can clash with the operator's own.
+ROW = "_row"
+
+
+def packed(docs: DataFrame, own: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns an operator reads, and those to ``keep`` (None: all others) as the struct ``ROW``, whatever their names."""
+    rest = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    row = F.struct(*[F.col(quoted(c)) for c in rest]) if rest else F.lit(0)
+    return docs.select(*[F.col(quoted(c)) for c in own], row.alias(ROW))
+
+
+def unpacked(keep: Sequence[str], own: Sequence[str], result: Sequence[str] = ()) -> list[Column]:
+    """The columns to ``keep`` of a packed frame by their names; one that is also a name in ``result`` is returned as ``kept_<name>``."""
+    taken = {r.lower() for r in result}
+    return [(F.col(quoted(c)) if c in own else F.col(f"{ROW}.{quoted(c)}")).alias(f"kept_{c}" if c.lower() in taken else c) for c in keep]
+
+
+#: Keys that one join broadcasts at most: those of so large a share of the rows that their rows should not meet in one task.
+HEAVY_KEYS = 4096
+
+
+def join_table(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each value of ``key`` and its number of rows in ``count``.
+
+    Keys that hold at least one in HEAVY_KEYS of the ``total`` rows are HEAVY_KEYS at most: they are broadcast, and
+    their rows stay where they are. All others are joined by a shuffle, in which no key can be large. ``how`` is inner
+    or left; rows with a null key match nothing.
+    """
+    least = max(2, -(-total // HEAVY_KEYS))
+    heavy = table.where(F.col(count) >= least).drop(count)
+    light = table.where(F.col(count) < least).drop(count)
+    few = F.broadcast(heavy)
+    here = rows.join(few, key)
+    there = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, how)
+    return here.unionByName(there)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``(u, v)`` of long -> ``(node, component)``, the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
-    Beyond", 2014): every step is one minimum per node, pre-aggregated before its shuffle, and one join back,
-    so a node with many neighbours is never gathered in one place. The edges of each round are cut from their
+    Beyond", 2014): every step is one minimum per node, pre-aggregated before its shuffle, and one join back. The minima
+    are cut from their lineage first, so both sides of the join are shuffled and a node with many neighbours is split
+    by the adaptive skew join; its edges are never gathered in one place. The edges of each round are cut from their
     lineage in the shared folder. Nodes without an edge are not returned; self-loops are allowed.
     """
     now = cut(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null").distinct())
     loops = now.where("u = v").select(F.col("u").alias("node"))
     now = now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     rows, mark = now.count(), None
-    for _ in range(max_rounds):
-        now = now.coalesce(max(2, rows // 100_000))
+    while True:
+        parts = max(2, rows // 100_000)
+        now = now.coalesce(parts)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))).coalesce(parts)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every edge of large points down (u > v): small-star joins what each node points to with its least
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"))).coalesce(parts)
         small = large.join(least, "u").select(F.col("v").alias("a"), "u", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         now = cut(small.where("u <> v").distinct())
@@ -76,8 +125,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (rows, total) == mark:
             break
         mark = (rows, total)
-    else:
-        raise RuntimeError("the components did not settle")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     alone = loops.join(found, "node", "left_anti").join(roots, "node", "left_anti").select("node", F.col("node").alias("component"))
