@@ -59,7 +59,7 @@ def op4_gridjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = (
     urls.Rule("allow", "org", "/"),
     urls.Rule("block", "example.org", "/es/"),
-    urls.Rule("allow", "example.org", "/en/1"),
+    urls.Rule("block", "example.org", "/en/1"),
     urls.Rule("allow", "com", "/fr/"),
     urls.Rule("block", "com", "/de/"),
 )

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import cut
+from tamis.llm.common import cut, join_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -68,7 +68,7 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     count = lambda text, pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     query = F.regexp_extract(u, r"(?s)^[^?#]*\?([^#]*)", 1)
     ratio = lambda a, text: a / F.greatest(F.length(text), F.lit(1))
-    last = F.regexp_extract(path, r"([^/]*)/*$", 1)
+    last = F.substring_index(F.rtrim(path, F.lit("/")), "/", -1)
     return {
         "length": F.length(u), "host_length": F.length(host), "path_length": F.length(path), "query_length": F.length(query),
         "labels": count(host, r"[.]") + F.when(host != "", 1).otherwise(0), "longest_label": F.array_max(F.transform(F.split(host, "[.]"), F.length)),
@@ -83,7 +83,12 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 def suffix_of(host: Column) -> Column:
     """The last label of a host, without a port."""
-    return F.regexp_extract(host, r"([^.:]*)(?::[0-9]*)?$", 1)
+    plain = F.regexp_replace(host, ":[0-9]*+$", "")
+    return F.substring_index(F.substring_index(plain, ":", -1), ".", -1)
+
+
+#: Suffixes (about 40 bytes each) up to which their statistics are broadcast whole; of more, only the frequent ones are.
+BROADCAST_SUFFIXES = 50_000
 
 
 # -- boosted trees
@@ -163,9 +168,10 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, label: Column | None = Non
     """``key, host, path, rule, verdict, score`` for each row's ``url``: the rule's verdict, else the trees'.
 
     ``label`` (1: block, 0: allow, null: unlabelled) names the labelled URLs; without it they are those that a rule
-    decides, with its verdict. At most about ``rows_to_learn`` of them, taken by a hash of the URL, are collected and
-    learnt from: a bounded sample. Suffix statistics (how many rows of the table, and what share of its labelled ones is
-    blocked) are counted over all rows and joined; the suffix of a third of all rows is one row of that small side.
+    decides, with its verdict. At most ``rows_to_learn`` of them, those of the least hashes of URL and key, are collected
+    and learnt from: a bounded sample. Suffix statistics (how many rows of the table, and what share of its labelled ones is
+    blocked) are counted over all rows. They are broadcast up to BROADCAST_SUFFIXES, so that rows are scored where they
+    are read; of more suffixes, the frequent ones are broadcast and the others joined by a shuffle.
 
     Null URLs and those without ``://`` have an empty host and path, fit no rule, and are scored like others. Where
     nothing is labelled, the trees allow. Repeated rows and ties are judged alike. Other columns are ignored, whatever
@@ -179,16 +185,16 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, label: Column | None = Non
     d = d.withColumn("_label", F.col("_given") if by_label else by_rule)
     stats = d.groupBy("_suffix").agg(F.count("*").alias("_rows"), F.count("_label").alias("_seen"), F.sum("_label").alias("_blocked"))
     stats = cut(stats)
-    whole = stats.agg(F.sum("_seen").alias("seen"), F.sum("_blocked").alias("blocked"), F.sum("_rows").alias("rows")).first()
+    whole = stats.agg(F.sum("_seen").alias("seen"), F.sum("_blocked").alias("blocked"), F.sum("_rows").alias("rows"), F.count("*").alias("suffixes")).first()
     seen, rate = whole.seen or 0, (whole.blocked or 0) / max(1, whole.seen or 0)
-    stats = stats.select("_suffix", F.log2(1 + F.col("_rows")).alias("suffix_rows"), ((F.coalesce("_blocked", F.lit(0)) + 8 * rate) / (F.col("_seen") + 8)).alias("suffix_rate"))
-    d = d.join(stats, "_suffix")
+    stats = stats.select("_suffix", "_rows", F.log2(1 + F.col("_rows")).alias("suffix_rows"), ((F.coalesce("_blocked", F.lit(0)) + 8 * rate) / (F.col("_seen") + 8)).alias("suffix_rate"))
+    d = d.join(F.broadcast(stats.drop("_rows")), "_suffix") if whole.suffixes <= BROADCAST_SUFFIXES else join_table(d, stats, "_suffix", "_rows", whole.rows)
     of = {**lexical(url, F.col("_host"), F.col("_path")), "suffix_rows": F.col("suffix_rows"), "suffix_rate": F.col("suffix_rate"), "suffix_length": F.length("_suffix")}
     names = list(of)
-    share = min(1.0, rows_to_learn / max(1, seen))
+    share = min(1.0, 1.2 * rows_to_learn / max(1, seen))
     draw = F.pmod(F.xxhash64(F.lit(seed), url, F.col("_key").cast("string")), F.lit(1 << 30)) / (1 << 30)
-    sample = d.where(F.col("_label").isNotNull() & (draw < share)).select(F.col("_label").alias("y"), *[of[n].cast("double").alias(n) for n in names])
-    sample = sample.limit(2 * rows_to_learn).toPandas().sort_values(["y", *names], kind="stable")
+    sample = d.where(F.col("_label").isNotNull() & (draw < share)).select(draw.alias("_draw"), F.col("_label").alias("y"), *[of[n].cast("double").alias(n) for n in names])
+    sample = sample.orderBy("_draw", "y", *names).limit(rows_to_learn).toPandas().sort_values(["y", *names], kind="stable")
     model = train(sample[names].to_numpy(np.float64), sample["y"].to_numpy(np.float64), names) if seen else Trees(names, -10.0, [])
     score = 1 / (1 + F.exp(-F.col("_margin")))
     d = d.select("_key", "_host", "_path", "_match", *[of[n].cast("double").alias(f"_f_{n}") for n in names])
