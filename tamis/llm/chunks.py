@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamis.llm.common import small_batches
+from tamis.llm.common import packed, small_batches, unpacked
 
 LEAST, NORMAL, MOST = 8, 32, 128
 _WINDOW = 32
@@ -112,7 +112,8 @@ def containment(a: dict[str, int], b: dict[str, int]) -> float:
 def with_fingerprints(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, fingerprint, n_chunks`` and the columns of ``keep`` for each row's whole text.
 
-    Null and empty texts have no chunks. Rows with equal texts have equal fingerprints. Other columns are ignored.
+    Null and empty texts have no chunks. Rows with equal texts have equal fingerprints. Other columns are ignored; a kept
+    column with the name of a result is returned as ``kept_<name>``.
     """
     keep = tuple(c for c in keep if c != "doc_id")
 
@@ -123,7 +124,8 @@ def with_fingerprints(docs: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFra
         sets = [chunk_set(t) for t in texts]
         return pd.DataFrame({"fingerprint": [fingerprint(s) for s in sets], "n_chunks": [len(s) for s in sets]})
 
-    return docs.select("doc_id", *keep, of(F.coalesce("text", F.lit(""))).alias("_f")).select("doc_id", "_f.fingerprint", "_f.n_chunks", *keep)
+    d = packed(docs, ("doc_id", "text"), keep).withColumn("_f", of(F.coalesce("text", F.lit(""))))
+    return d.select("doc_id", "_f.fingerprint", "_f.n_chunks", *unpacked(keep, ("doc_id", "text"), ("doc_id", "fingerprint", "n_chunks")))
 
 
 PROBED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -14,6 +14,7 @@ what PPM charges below order 0; that is exact, as such bytes are in no context e
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamis.llm.common import small_batches
+from tamis.llm.common import ROW, packed, small_batches, unpacked
 
 UNDETERMINED = "und"
 #: Bytes of all texts that are scored in one go.
@@ -203,7 +204,10 @@ def training_sample(docs: DataFrame, rows_per_lang: int, seed: int) -> dict[str,
     return samples
 
 
-def identify(docs: DataFrame, *, rows_per_lang: int = 400, order: int = 4, seed: int = 20_240, keep: tuple[str, ...] = ()) -> DataFrame:
+RESULT = ("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+def identify(docs: DataFrame, *, rows_per_lang: int = 400, order: int = 4, seed: int = 20_240, keep: Sequence[str] = ()) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits_per_byte`` and the columns named in ``keep`` for each row of ``docs``.
 
     Trained on whole texts of rows with a language whose id is not held out, at most ``rows_per_lang`` each, so the
@@ -213,12 +217,21 @@ def identify(docs: DataFrame, *, rows_per_lang: int = 400, order: int = 4, seed:
 
     Null or letterless texts are ``und`` with score 0, as are all where nothing can be learnt from (an empty table,
     no languages). Empty texts are letterless. Ties go to the language that comes first by code point. Repeated rows
-    are predicted alike. A null id is not held out, and learnt from. Columns other than doc_id, text and lang are
-    ignored, whatever their names.
+    are predicted alike. A null id is not held out, and learnt from. Columns other than doc_id, text, lang and ``keep``
+    are ignored, whatever their names; a kept column with the name of a result is returned as ``kept_<name>``.
     """
+    own = ("doc_id", "text", "lang")
+    keep = [c for c in keep if c != "doc_id"]
+    return identified(docs, rows_per_lang, order, seed, keep).select(
+        "doc_id", "held_out", "lang_pred", "score", "bits_per_byte", *unpacked(keep, own, RESULT)
+    )
+
+
+def identified(docs: DataFrame, rows_per_lang: int, order: int, seed: int, keep: Sequence[str] | None) -> DataFrame:
+    """The same with doc_id, text, lang and the columns to keep (None: all) as they were, those packed."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text", "lang", *[c for c in keep if c not in ("doc_id", "text", "lang")])
+    docs = packed(docs, ("doc_id", "text", "lang"), keep)
     samples = training_sample(docs.where(~held_out(F.col("doc_id"))), rows_per_lang, seed)
     model = spark.sparkContext.broadcast(train(samples, order) if samples else None)
     undetermined = F.col("text").isNull() | ~F.col("text").rlike(r"\p{L}")
@@ -236,10 +249,16 @@ def identify(docs: DataFrame, *, rows_per_lang: int = 400, order: int = 4, seed:
 
     found = docs.withColumn("_found", F.when(~undetermined, score(F.coalesce("text", F.lit("")))))
     return found.select(
-        "doc_id",
+        "doc_id", "text", "lang", ROW,
         held_out(F.col("doc_id")).alias("held_out"),
         F.coalesce("_found.lang", F.lit(UNDETERMINED)).alias("lang_pred"),
         F.coalesce("_found.score", F.lit(0.0)).alias("score"),
         F.coalesce("_found.bits", F.lit(0.0)).alias("bits_per_byte"),
-        *keep,
-    )
+    )
+
+
+def select_identified(docs: DataFrame, *, least_score: float = 0.5, rows_per_lang: int = 400, order: int = 4, seed: int = 20_240) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is determined with a score of ``least_score`` or more."""
+    found = identified(docs, rows_per_lang, order, seed, None)
+    found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return found.select(*unpacked(docs.columns, ("doc_id", "text", "lang")))

@@ -19,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tamis.llm.common import cut, word_count
+from tamis.llm.common import ROW, cut, join_table, packed, unpacked, word_count
 
-#: Sources up to which their table (under 100 bytes a row and the name) is broadcast; beyond, it is joined by shuffling.
+#: Sources up to which their table (under 100 bytes a row and the name) is broadcast; of more, only the large ones are.
 BROADCAST_SOURCES = 20_000
 
 _FIRST_NULL_LAST = F.asc_nulls_last
@@ -52,7 +52,7 @@ def target_sizes(sizes: DataFrame, weights: Sequence[int], share_num: int, share
     ceiling = (F.col("source_size") * cap).cast("double")
     level = (F.col("weight") * F.col("_first._num")).cast("double") / F.col("_first._den").cast("double")
     d = d.withColumn("target", F.when(F.col("_first").isNull() | under, ceiling).otherwise(level))
-    return d.select("source", "source_size", "rank", "weight", "target")
+    return d.select(*sizes.columns, "rank", "weight", "target")
 
 
 def sainte_lague(parties: DataFrame, votes: str, seats: Column, group: Sequence[str], party: Sequence[str]) -> DataFrame:
@@ -79,6 +79,9 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, group: Sequence[
     return joined.select(*[F.col(f"a.{c}") for c in parties.columns], (F.col("a._low") + F.coalesce("b._won", F.lit(0))).cast("long").alias("quota"))
 
 
+RESULT = ("doc_id", "source", "size", "source_size", "target", "quota", "taken", "full", "cut_from", "cut_words")
+
+
 def mix(
     docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = 8,
     shard_words: int = 1 << 20, seed: int = 7, keep: Sequence[str] = (),
@@ -90,29 +93,42 @@ def mix(
 
     Null and wordless texts have size 0 and are not taken. Null sources are one source, the last. Rows that repeat an
     id are documents of their own, that stand side by side; those of equal size are interchangeable. An empty table
-    gives an empty result. Columns other than doc_id, text, source and ``keep`` are ignored, whatever their names.
+    gives an empty result. Columns other than doc_id, text, source and ``keep`` are ignored, whatever their names; a
+    kept column with the name of a result is returned as ``kept_<name>``. Words are counted once, and once more where
+    columns are kept, which spares writing those.
     """
     keep = [c for c in keep if c not in ("doc_id", "source")]
+    d = _mixed(docs, weights, share, cap, block_words, shard_words, seed, keep)
+    return d.select(*RESULT, *unpacked(keep, ("doc_id", "text", "source"), RESULT))
+
+
+def _mixed(docs: DataFrame, weights: Sequence[int], share: tuple[int, int], cap: int, block_words: int, shard_words: int, seed: int, keep: Sequence[str]) -> DataFrame:
+    """The columns of RESULT, and text and the packed others if any is to be kept."""
+    own, kept = ("doc_id", "text", "source"), ("text", ROW) if keep else ()
     size = word_count(F.col("text")).alias("size")
-    sizes = docs.select("source", size).groupBy("source").agg(F.sum("size").alias("source_size"))
+    measured = cut(docs.select("doc_id", "source", size))
+    sizes = measured.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     targets = target_sizes(sizes, weights, share[0], share[1], cap)
     blocks = F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long")
     quotas = sainte_lague(targets.withColumn("_blocks", blocks), "target", F.col("_blocks"), [], ["rank"]).drop("_blocks")
     quotas = quotas.withColumnRenamed("quota", "_source_quota").withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
-    quotas = cut(quotas)  # a row for each source
-    if quotas.count() <= BROADCAST_SOURCES:
-        quotas = F.broadcast(quotas)
+    # null sources are joined as well
+    name = F.concat(F.when(F.col("source").isNull(), "null").otherwise("="), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias("_name")
+    quotas = cut(quotas.select(name, "_rows", "source_size", "target", "rank", "_source_quota", "_shards"))  # a row for each source
+    sources, rows = quotas.agg(F.count("*"), F.sum("_rows")).first()
 
     shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), F.col("doc_id").cast("string"), "size"), F.col("_shards"))
-    on = F.col("d.source").eqNullSafe(F.col("q.source"))
-    own = ("source_size", "target", "rank", "_source_quota", "_shards")
-    place = lambda d: d.alias("d").join(quotas.alias("q"), on).select("d.*", *[F.col(f"q.{c}") for c in own]).withColumn("_shard", shard)
-    placed = place(docs.select("doc_id", "source", *keep, size))
+
+    def place(d: DataFrame) -> DataFrame:
+        d = d.withColumn("_name", name)
+        d = d.join(F.broadcast(quotas.drop("_rows")), "_name") if sources <= BROADCAST_SOURCES else join_table(d, quotas, "_name", "_rows", rows)
+        return d.drop("_name").withColumn("_shard", shard)
+
+    placed = place(packed(docs, own, keep).select("doc_id", "source", *kept, size) if keep else measured)
     # the words before each document in its shard, in the seeded order
     order = Window.partitionBy("rank", "_shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), F.col("doc_id").cast("string")), "doc_id", "size")
     placed = placed.withColumn("_before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
-    shards = place(docs.select("doc_id", "source", size))
-    shards = shards.groupBy("rank", "_shard", "_source_quota").agg(F.sum("size").alias("_shard_size"))
+    shards = place(measured).groupBy("rank", "_shard", "_source_quota").agg(F.sum("size").alias("_shard_size"))
     shards = sainte_lague(shards.withColumn("_votes_of", F.col("_shard_size").cast("double")), "_votes_of", F.col("_source_quota"), ["rank"], ["_shard"])
     n = F.ceil(F.col("_shard_size") / block_words).cast("long")
     q = F.least(F.col("quota"), n * cap)
@@ -139,7 +155,7 @@ def mix(
         (F.col("_base") * F.when(F.col("size") > 0, 1).otherwise(0) + F.when(whole, 1).otherwise(0)).cast("long").alias("full"),
         F.when(F.col("_one") > 0, F.greatest(F.col("_a1") - lo, F.lit(0))).otherwise(0).cast("long").alias("cut_from"),
         F.when(whole, 0).otherwise(F.col("_part")).cast("long").alias("cut_words"),
-        *keep,
+        *kept,
     )
 
 
@@ -152,16 +168,20 @@ def cut_text(text: Column, cut_from: Column, cut_words: Column) -> Column:
     return F.when(F.size(round_end) > 0, F.concat(whole, F.lit(" "), F.array_join(round_end, ""))).otherwise(whole)
 
 
-def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents: a row of ``docs`` for each whole copy and one for the part of a document that was cut."""
-    columns = docs.columns
-    rest = [c for c in columns if c not in ("doc_id", "source")]
-    d = mix(docs, keep=rest, **options)
-    part = F.when(F.col("cut_words") > 0, F.array(F.struct(F.lit(True).alias("cut")))).otherwise(F.array().cast("array<struct<cut:boolean>>"))
-    copies = F.concat(F.transform(F.array_repeat(F.lit(False), F.col("full").cast("int")), lambda x: F.struct(x.alias("cut"))), part)
-    d = d.withColumn("_copy", F.explode(copies))
-    text = F.when(F.col("_copy.cut"), cut_text(F.col("text"), F.col("cut_from"), F.col("cut_words"))).otherwise(F.col("text"))
-    d = d.withColumn("text", text)
-    if "n_chars" in columns:
-        d = d.withColumn("n_chars", F.when(F.col("_copy.cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(*columns)
+def apply_mix(
+    docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = 8,
+    shard_words: int = 1 << 20, seed: int = 7,
+) -> DataFrame:
+    """The mixed documents: a row of ``docs`` for each whole copy and one for the part of a document that was cut.
+
+    All columns come back as they were, whatever their names, but for text, and n_chars where there is one, of parts.
+    """
+    d = _mixed(docs, weights, share, cap, block_words, shard_words, seed, docs.columns)
+    part = F.when(F.col("cut_words") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    d = d.withColumn("_cut", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("full").cast("int")), part)))
+    d = d.withColumn("text", F.when(F.col("_cut"), cut_text(F.col("text"), F.col("cut_from"), F.col("cut_words"))).otherwise(F.col("text")))
+    out = unpacked(docs.columns, ("doc_id", "text", "source"))
+    if "n_chars" in docs.columns:
+        n = F.when(F.col("_cut"), F.length("text")).otherwise(F.col(f"{ROW}.n_chars"))
+        out[docs.columns.index("n_chars")] = n.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return d.select(*out)

@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from tamis.llm.common import small_batches
+from tamis.llm.common import ROW, packed, small_batches, unpacked
 
 MARK = "▁"
 #: Characters up to which a unit is worked off side by side with others.
@@ -306,28 +307,30 @@ def encode(docs: DataFrame, model_file: str, *, dropout: float = 0.1, seed: int
     """``doc_id, ids, n_tokens`` and the columns of ``keep`` for each row: its whole text in pieces.
 
     Null and empty texts have no ids. Rows with the same id and text are segmented alike; rows without an id draw by
-    their text. Other columns are ignored, whatever their names. An empty table gives an empty result. Memory grows
-    with the longest text only. ``model_file`` is a path that every executor has.
+    their text. Other columns are ignored, whatever their names; a kept column with the name of a result is returned as
+    ``kept_<name>``. An empty table gives an empty result. Memory grows with the longest text only. ``model_file`` is a
+    path that every executor has.
     """
-    keep = tuple(c for c in keep if c not in ("doc_id", "text"))
+    keep, used = [c for c in keep if c != "doc_id"], ("doc_id", "text")
     small_batches(docs.sparkSession)
-    d = docs.select("doc_id", "text", *keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name != "text")
+    d = packed(docs, used, keep)
+    own = [c for c in ("doc_id", "text", ROW) if c != "text" or "text" in keep]
+    schema = StructType([*(d.schema[c] for c in own), StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file, dropout, seed)
+        codec_ = codec(model_file, dropout, seed)
         for whole in batches:
             for lo in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(lo, SLICE_ROWS)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids = own.encode(texts, [own.key(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), texts)])
+                ids = codec_.encode(texts, [codec_.key(i, t) for i, t in zip(batch.column("doc_id").to_pylist(), texts)])
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.concatenate([np.zeros(0, np.int32), *ids])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
-                first = [batch.column(c) for c in ("doc_id", *keep)]
-                yield pa.RecordBatch.from_arrays([*first, lists, pa.array(sizes)], ["doc_id", *keep, "ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), lists, pa.array(sizes)], [*own, "ids", "n_tokens"])
 
-    return d.mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long")
+    result = ("doc_id", "ids", "n_tokens", "text")
+    return d.mapInArrow(run, schema).select("doc_id", "ids", "n_tokens", *unpacked(keep, used, result))
 
 
 def decode(encoded: DataFrame, model_file: str, *, ids: str = "ids", into: str = "text") -> DataFrame:

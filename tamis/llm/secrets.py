@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import small_batches
+from tamis.llm.common import packed, small_batches, unpacked
 
 KINDS = ("assign", "access", "hex", "lex")
 SPAN = "struct<kind string, start long, end long, secret_start long, score double, name string>"
@@ -216,10 +216,12 @@ def scan_secrets(docs: DataFrame, *, threshold: float = 0.5, keep: tuple[str, ..
     """``doc_id, spans`` and the columns named in ``keep``: every secret of every whole text, in code points, end exclusive.
 
     Null and empty texts have no spans. Repeated rows and ties are scanned alike, each for itself; a null id is kept.
-    A text is lexed in one pass whose memory grows with that text only. Other columns are ignored, whatever their names.
+    A text is lexed in one pass whose memory grows with that text only. Other columns are ignored, whatever their names; a kept column
+    with the name of a result is returned as ``kept_<name>``.
     """
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", *[c for c in keep if c != "doc_id"], spans_of(F.col("text"), threshold).alias("spans"))
+    d = packed(docs, ("doc_id", "text"), keep).withColumn("spans", spans_of(F.col("text"), threshold))
+    return d.select("doc_id", *unpacked([c for c in keep if c != "doc_id"], ("doc_id", "text"), ("doc_id", "spans")), "spans")
 
 
 def redact(docs: DataFrame, *, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
@@ -232,7 +234,7 @@ def redact(docs: DataFrame, *, threshold: float = 0.5, mask: str = "[SECRET]") -
         return pd.Series([_masked(t, threshold, mask) for t in texts], dtype=object)
 
     out = docs.withColumn("text", clean("text"))
-    return out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast("long")) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def _masked(text: str | None, threshold: float, mask: str) -> str | None:

@@ -3,6 +3,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor sit amet " * 20_000
 
@@ -17,10 +19,15 @@ def awkward_documents(spark):
     return spark.createDataFrame([(i, t, l, s, None if t is None else len(t)) for i, t, l, s in rows], DOCS)
 
 
+CLASHES = """size ids spans keys digest key rank _shard quota score _found n u v id comp label2 lang_pred held_out bits_per_byte taken target full cut_from
+    cut_words source_size _row _name _rows _cut _part text_u class component_id kept n_tokens""".split() + ["a b", "a.b", "a`b"]
+
+
 def with_clashes(df):
-    """Columns that operators use inside, under names they use."""
-    for name in ("size", "ids", "spans", "keys", "digest", "key", "rank", "_shard", "quota", "score", "_found", "n", "u", "v", "id", "comp", "label2"):
-        df = df.selectExpr("*", f"'clash' as `{name}`")
+    """Columns that operators use inside, under names they use, and odd names."""
+    for name in CLASHES:
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(f"clash {name}"))
     return df
 
 

@@ -93,3 +93,13 @@ def test_awkward_rows(spark):
     assert langid.identify(docs.limit(0)).count() == 0
     nothing = langid.identify(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
+
+
+def test_columns_come_back_as_they_were(spark):
+    docs = h.awkward_documents(spark)
+    out = langid.select_identified(h.with_clashes(docs), least_score=0.0)
+    assert out.columns == h.with_clashes(docs).columns
+    assert h.rows_of(out, *docs.columns) == h.rows_of(langid.select_identified(docs, least_score=0.0), *docs.columns)
+    assert {tuple(r[c] for c in h.CLASHES) for r in out.collect()} == {tuple(f"clash {c}" for c in h.CLASHES)}
+    got = langid.identify(h.with_clashes(docs), keep=("score", "a b", "text")).first()
+    assert (got["kept_score"], got["a b"]) == ("clash score", "clash a b") and "text" in got

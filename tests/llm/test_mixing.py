@@ -4,7 +4,7 @@ from fractions import Fraction
 import helpers as h
 import pytest
 
-from tamis.llm import mixing, queries
+from tamis.llm import common, mixing, queries
 
 
 def targets(sizes, weights=(5, 2, 1), num=3, den=2, cap=2):
@@ -103,12 +103,28 @@ def test_awkward_rows(spark):
     got = mixing.mix(h.with_clashes(docs)).collect()
     assert len(got) == docs.count()
     check([(r.doc_id, r.text, r.source) for r in docs.collect()], got)
-    out = mixing.apply_mix(h.with_clashes(docs).drop("size", "rank", "quota", "_shard"))
-    assert out.where("text is null or text = ''").count() == 0
+    out = mixing.apply_mix(h.with_clashes(docs))
+    assert out.columns == h.with_clashes(docs).columns and out.where("text is null or text = ''").count() == 0
+    plain = mixing.apply_mix(docs)
+    assert h.rows_of(out, *docs.columns) == h.rows_of(plain, *docs.columns) and plain.count() > 5
+    assert {tuple(r[c] for c in h.CLASHES) for r in out.collect()} == {tuple(f"clash {c}" for c in h.CLASHES)}
+    kept = mixing.mix(h.with_clashes(docs), keep=("text", "size", "a.b", "taken")).collect()
+    assert {(r["kept_size"], r["a.b"], r["kept_taken"]) for r in kept} == {("clash size", "clash a.b", "clash taken")}
+    assert sorted((str(r.doc_id), r.size, r.taken) for r in kept) == sorted((str(r.doc_id), r.size, r.taken) for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.apply_mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs.where("text is null")).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_many_sources_are_joined_alike(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(60), None if i % 9 == 0 else "big" if i % 3 else f"s{i % 40}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = sorted(map(tuple, mixing.mix(df).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(common, "HEAVY_KEYS", 4)
+    assert sorted(map(tuple, mixing.mix(df).collect()), key=str) == one
+
+
 def test_main_path_has_no_python(spark):
     plan = mixing.mix(h.awkward_documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -59,7 +59,8 @@ def test_share_of_skipped_candidates():
 
 def test_operator(spark):
     docs = h.awkward_documents(spark)
-    got = pieces.encode(h.with_clashes(docs), queries.MODEL_FILE, keep=("source",))
+    got = pieces.encode(h.with_clashes(docs), queries.MODEL_FILE, keep=("source", "ids", "a`b"))
+    assert {(r["kept_ids"], r["a`b"]) for r in got.collect()} == {("clash ids", "clash a`b")}
     back = pieces.decode(got, queries.MODEL_FILE)
     assert h.rows_of(back, "doc_id", "text") == sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: tuple((x is None, str(x)) for x in r))
     assert pieces.encode(docs.limit(0), queries.MODEL_FILE).count() == 0
