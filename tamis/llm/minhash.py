@@ -6,12 +6,18 @@ similarity, and their mean varies less than that of as many independent minima.
 buckets of a locality-sensitive index. With 50 bands of 7 values, a pair at similarity 0.8 misses all buckets with a
 probability of (1 - 0.8^7)^50, under 1e-5.
 
+Small sets are further from that figure, as the minimum and the maximum of a permutation of few shingles depend on each
+other. Those of up to ten shingles (at 0.8) are therefore also looked up by their shingles less one, which finds all
+links of sets that differ by one shingle, or by one each.
+
 Texts with equal shingle sets are one class from the start. Each bucket's classes are first compared with its pivot,
 the member that shares most buckets with others; links are confirmed on the full shingle sets and contracted to
 components, which leaves little of most groups of copies. Then every two members of a bucket that are still in different
-components are compared: as pairs in small buckets, and in large ones block by block, each task holding the shingles of
-two blocks of bounded size and returning only links that join components. So no pair that could join two components is
-left out, and no group is gathered in one place or written out as all its pairs.
+components are compared: as pairs in small buckets. In large ones the members outside the largest component are cut into
+blocks, and so are all members; each task holds a block of either kind, of bounded expected size, and returns only links
+that join components. So no pair that could join two components is left out, no group is gathered in one place or
+written out as all its pairs, and a text is shipped once for each block of members outside the largest component. Tables
+that are joined by bucket are cut from their lineage first, so the adaptive skew join splits large buckets.
 """
 
 from __future__ import annotations
@@ -23,14 +29,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tamis.llm.common import connected_components, cut, small_batches
 
 _MIX1, _MIX2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Members up to which a bucket's pairs are written out.
 SMALL = 24
-#: Rows and shingles of a block of a larger bucket (it holds one document more than fits).
+#: Rows and shingles of a block of a larger bucket, as dealt out by a hash.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19
 #: Shingles that are hashed by all permutations in one go.
 SLICE = 4096
@@ -87,20 +92,37 @@ class MinMax:
         return [xxhash.xxh3_64_intdigest(sig[i * width : (i + 1) * width], seed=i + 1) - (1 << 63) for i in range(self.bands)]
 
 
-def _signed(docs: DataFrame, k: int, index: MinMax) -> DataFrame:
-    """``_row`` columns of docs with the size and digest of each shingle set, and its bucket keys."""
+def _tiny(percent: int) -> tuple[int, int]:
+    """The least and largest sets that are looked up by their shingles less one: below, only equal sets are similar enough."""
+    return (-(-100 // (100 - percent)) - 1, 200 // (100 - percent)) if percent < 100 else (0, -1)
+
+
+def tiny_keys(shingles: np.ndarray, percent: int) -> list[int]:
+    """Signed 64-bit keys of a small set and of what is left of it without each of its shingles; none for other sets."""
+    low, high = _tiny(percent)
+    if not low <= len(shingles) <= high:
+        return []
+    whole = shingles.sum(dtype=np.uint64)
+    less = whole - shingles if len(shingles) > low else shingles[:0]
+    return [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in np.append(whole, less)]
+
+
+def _signed(docs: DataFrame, k: int, percent: int, index: MinMax) -> DataFrame:
+    """``doc_id`` with the size and digest of each shingle set, its bucket keys and those of a small set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, digest, keys = [], [], []
+            size, digest, keys, tiny = [], [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_hashes(t, k)
                 size.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(index.keys(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
+                tiny.append(tiny_keys(s, percent))
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, lists), pa.array(tiny, lists)], ["doc_id", "n_shingles", "digest", "keys", "tiny"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, digest binary, keys array<long>, tiny array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -108,29 +130,50 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _tiny_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: pairs of small sets that differ by one shingle, or by one each, and are similar enough.
+
+    All that is left without one shingle is the same in a bucket, so its members are of two sizes: one set at most that
+    is what is left, and sets of one shingle more. Links with the first of them join all that the others would.
+    """
+    keyed = classes.select("class_id", "size", F.explode("tiny").alias("key"))
+    pivots = cut(keyed.groupBy("key").agg(F.min(F.struct("size", "class_id")).alias("p"), F.count("*").alias("n")).where("n > 1").select("key", "p"))
+    inter = F.when(F.col("p.size") == F.col("size"), F.col("size") - 1).otherwise(F.col("p.size"))
+    near = (F.col("class_id") != F.col("p.class_id")) & (100 * inter >= percent * (F.col("size") + F.col("p.size") - inter))
+    return keyed.join(pivots, "key").where(near).select(F.greatest("class_id", "p.class_id").alias("u"), F.least("class_id", "p.class_id").alias("v"))
+
+
+def _dealt(large: DataFrame) -> DataFrame:
+    """``key, i, j, id, comp, apart``: the members of buckets dealt out to pairs of blocks, those outside the largest component (apart) to blocks i, all to blocks j."""
+    by_component = large.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    stats = by_component.groupBy("key").agg(F.max(F.struct("n", "size", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_SHINGLES), F.lit(1))
+    stats = cut(stats.select("key", F.col("main.comp").alias("main"), blocks(F.col("n"), F.col("size")).alias("all"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("apart")))
+    placed = large.select("key", "id", "comp").join(stats, "key")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = placed.where("comp <> main").select("key", "id", "comp", dealt("apart").alias("i"), numbers("all").alias("j"), F.lit(True).alias("apart"))
+    others = placed.select("key", "id", "comp", numbers("apart").alias("i"), dealt("all").alias("j"), F.lit(False).alias("apart"))
+    return mine.unionByName(others)
+
+
 def _joined_by_blocks(large: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """``u, v``: links between members of a bucket in different components, enough to join all that they join.
 
-    The members of a bucket are cut into blocks of bounded rows and shingles; each two blocks meet in one task.
+    Of two such members one is outside the bucket's largest component, so blocks of those meet blocks of all members.
     """
-    upto = Window.partitionBy("key").orderBy("rank")
-    block = F.greatest(F.floor((F.col("rank") - 1) / BLOCK_ROWS), F.floor((F.sum("size").over(upto) - F.col("size")) / BLOCK_SHINGLES))
-    blocked = large.withColumn("block", block.cast("long"))
-    last = blocked.groupBy("key").agg(F.max("block").alias("last"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    meet = blocked.join(last, "key").withColumn("pair", F.explode(pairs)).select("key", "pair.i", "pair.j", "block", "id", "comp")
-    meet = meet.join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    meet = _dealt(large).join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
 
     def join(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block, ids, comp = (table.column(c).to_numpy() for c in ("block", "id", "comp"))
+        apart = table.column("apart").to_numpy()
+        ids, comp = table.column("id").to_numpy(), table.column("comp").to_numpy()
         sets = [shingle_hashes(t, k) for t in table.column("text").to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        _, every = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        by = np.argsort(every, kind="stable")
-        postings, first = owner[by], np.searchsorted(every[by], np.arange(every.max(initial=0) + 2))
-        mine = np.split(every, np.cumsum(sizes)[:-1])
+        rest = np.flatnonzero(~apart)
+        sizes = np.array([len(sets[y]) for y in rest], np.int64)
+        # which of the others have each shingle
+        flat = np.concatenate([np.zeros(0, np.uint64), *(sets[y] for y in rest)])
+        by = np.argsort(flat, kind="stable")
+        owner, flat = np.repeat(np.arange(len(rest)), sizes)[by], flat[by]
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -139,18 +182,12 @@ def _joined_by_blocks(large: DataFrame, texts: DataFrame, k: int, percent: int)
             return c
 
         u, v = [], []
-        names, at, count = np.unique(comp, return_inverse=True, return_counts=True)
-        usual = int(count.argmax())  # members of the largest component meet the others from their side
-        for x in range(len(sets)):
-            if at[x] == usual or not sizes[x]:
-                continue
-            a, b = first[mine[x]], first[mine[x] + 1]
+        for x in np.flatnonzero(apart):
+            a, b = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
             reach = np.repeat(b - np.cumsum(b - a), b - a) + np.arange((b - a).sum())
-            inter = np.bincount(postings[reach], minlength=len(sets))
-            hit = (at != at[x]) & (100 * inter >= percent * (sizes + sizes[x] - inter))
-            if i != j:
-                hit &= block != block[x]
-            for y in np.flatnonzero(hit):
+            inter = np.bincount(owner[reach], minlength=len(rest))
+            hit = (comp[rest] != comp[x]) & (100 * inter >= percent * (sizes + len(sets[x]) - inter))
+            for y in rest[hit]:
                 p, q = find(int(comp[x])), find(int(comp[y]))
                 if p != q:
                     root[max(p, q)] = min(p, q)
@@ -196,31 +233,31 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     are ignored, whatever their names. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    signed = cut(_signed(docs, shingle, MinMax(bands, rows, seed)))
+    signed = cut(_signed(docs, shingle, percent, MinMax(bands, rows, seed)))
     ids = signed.where("doc_id is not null and digest is not null")
-    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"), F.min_by("keys", "doc_id").alias("keys"))
-    buckets = classes.select("class_id", "size", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "class_id", "size")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("size"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("tiny", "doc_id").alias("tiny"))
+    buckets = classes.select("class_id", "size", F.explode("keys").alias("key"))
+    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = cut(buckets.join(shared, "key").select("key", F.col("class_id").alias("id"), "size", "n"))
     degree = met.groupBy("id").agg(F.sum(F.col("n") - 1).alias("degree"))
-    by_degree = Window.partitionBy("key").orderBy(F.desc("degree"), "id")
-    members = cut(met.join(degree, "id").select("key", "id", "size", "n", F.row_number().over(by_degree).alias("rank")))
-    # the texts of what shares a bucket at all, once
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(degree.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
-
-    pivots = members.where("rank = 1").select("key", F.col("id").alias("p"), F.col("size").alias("p_size"))
-    first = members.where("rank > 1").join(pivots, "key").where(_may_link("size", "p_size", percent)).select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v"))
-    judged = cut(_confirmed(first.distinct(), texts, shingle, percent))
+    pivots = met.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), "size")).alias("p"))
+    pivots = cut(pivots.select("key", (-F.col("p.minus")).alias("p"), F.col("p.size").alias("p_size")))
+    first = met.join(pivots, "key").where((F.col("id") != F.col("p")) & _may_link("size", "p_size", percent)).select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v"))
+    first = cut(first.unionByName(_tiny_pairs(classes, percent)).distinct())
+    # the texts of what may link at all, once
+    found = met.select("id").unionByName(first.select(F.col("u").alias("id"))).unionByName(first.select(F.col("v").alias("id"))).distinct()
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(found.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
+    judged = cut(_confirmed(first, texts, shingle, percent))
     links = judged.where("linked").select("u", "v").distinct()
     component = cut(connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp")))
 
-    placed = members.join(component, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    open_ = cut(placed.where("n > 2").join(split.select("key"), "key", "left_semi"))
+    placed = met.where("n > 2").join(component, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    split = cut(placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key"))
+    open_ = cut(placed.join(split, "key", "left_semi"))
     small = open_.where(F.col("n") <= SMALL)
-    others = small.select("key", F.col("id").alias("p"), F.col("size").alias("p_size"), F.col("rank").alias("p_rank"), F.col("comp").alias("p_comp"))
-    may = (F.col("rank") > F.col("p_rank")) & (F.col("p_rank") > 1) & (F.col("comp") != F.col("p_comp")) & _may_link("size", "p_size", percent)
-    second = small.join(others, "key").where(may).select(F.greatest("id", "p").alias("u"), F.least("id", "p").alias("v")).distinct()
+    others = small.select("key", F.col("id").alias("p"), F.col("size").alias("p_size"), F.col("comp").alias("p_comp"))
+    may = (F.col("id") > F.col("p")) & (F.col("comp") != F.col("p_comp")) & _may_link("size", "p_size", percent)
+    second = small.join(others, "key").where(may).select(F.col("id").alias("u"), F.col("p").alias("v")).distinct()
     second = _confirmed(second.join(judged.select("u", "v"), ["u", "v"], "left_anti"), texts, shingle, percent).where("linked").select("u", "v")
     more = cut(second.unionByName(_joined_by_blocks(open_.where(F.col("n") > SMALL), texts, shingle, percent)).distinct())
     if more.limit(1).count():

@@ -89,6 +89,53 @@ def test_group_of_copies_costs_about_one_comparison_each(spark, monkeypatch):
     assert made[0] < 5 * len(rows) and sum(made) < 8 * len(rows)
 
 
+def test_a_stray_member_costs_one_more_copy_of_each_text(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 100)
+    large = spark.range(5000).selectExpr("7L as key", "id", "10L as size", "5000L as n", "if(id = 4321, id, 0L) as comp")
+    dealt = minhash._dealt(large).collect()
+    assert sum(not r.apart for r in dealt) == 5000 and sum(r.apart for r in dealt) == 50
+    assert {r.id for r in dealt if r.apart} == {4321} and {r.i for r in dealt} == {0} and {r.j for r in dealt} == set(range(50))
+    # every member meets every other that is outside the largest component, once from its side
+    some = large.selectExpr("key", "id", "size", "n", "if(id % 20 = 3, id, 0L) as comp")
+    dealt = minhash._dealt(some).collect()
+    strays, at = {}, {}
+    for r in dealt:
+        (strays if r.apart else at).setdefault(r.id, set()).add((r.i, r.j))
+    assert len(strays) == 250 and len(at) == 5000
+    assert all(len(strays[x] & at[y]) == 1 for x in list(strays)[:50] for y in list(at)[::50])
+
+
+def test_small_sets_are_found_exactly():
+    """Every pair of sets of up to ten shingles that differ by one, or by one each, has a key in common, as min-max buckets alone would not ensure."""
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(4, 11))
+        base = rng.integers(0, 1 << 63, n + 2, dtype=np.uint64)
+        a = np.unique(base[:n])
+        for b in (np.unique(np.append(base[1:n], base[n])), a[:-1], np.unique(base[: n + 1])):
+            sets = {len(a), len(b)}
+            inter = len(np.intersect1d(a, b))
+            if 100 * inter >= 80 * (len(a) + len(b) - inter) and max(sets) <= 10:
+                assert set(minhash.tiny_keys(a, 80)) & set(minhash.tiny_keys(b, 80))
+    assert minhash.tiny_keys(base[:3], 80) == [] and minhash.tiny_keys(np.sort(rng.integers(0, 99, 11, dtype=np.uint64)), 80) == []
+    assert len(minhash.tiny_keys(np.sort(base[:4]), 80)) == 1 and minhash.tiny_keys(base[:4], 100) == []
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_many_short_texts_equal_all_pairs(spark, monkeypatch, percent):
+    rng = random.Random(percent)
+    rows = [(i, " ".join(rng.choice("abc") if rng.random() < 0.1 else f"t{j}" for j in range(rng.randrange(3, 15)))) for i in range(250)]
+    monkeypatch.setattr(minhash.MinMax, "keys", lambda self, s: [])  # without the buckets
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1, percent=percent).collect()}
+    monkeypatch.undo()
+    both = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1, percent=percent).collect()}
+    assert both == brute(rows, 1, percent)
+    sets = {i: h.shingles(t, 1) for i, t in rows}
+    high = minhash._tiny(percent)[1]
+    links = [(i, j) for i, j in combinations(sets, 2) if len(sets[i] ^ sets[j]) <= 2 and abs(len(sets[i]) - len(sets[j])) <= 1 and max(len(sets[i]), len(sets[j])) <= high and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    assert all(got[i] == got[j] for i, j in links) and links
+
+
 def test_minima_and_maxima_estimate_similarity():
     index = minhash.MinMax(100, 8, 5)
     rng = random.Random(1)
