@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
 from tamis.llm.common import connected_components, cut
@@ -29,8 +29,8 @@ from tamis.llm.common import connected_components, cut
 BLOCK, FAN, PAIRS = 1024, 8, 8
 #: Leading directions that have bounds, and those of them that have cells.
 BOUNDS, CELLS = 16, 4
-#: Vectors that the directions are fitted on. Any basis is right; this one is apt.
-FITTED = 20_000
+#: Vectors that the directions are fitted on at most, and numbers in them. Any basis is right; this one is apt.
+FITTED, FITTED_VALUES = 20_000, 1 << 22
 #: Rounding of coordinates, which bounds must not lose a link to.
 SLACK = 1e-7
 
@@ -49,20 +49,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _directions(classes: DataFrame, seed: int = 1) -> dict[int, np.ndarray]:
-    """Orthonormal principal directions for each length of vector, from a bounded sample taken by hash."""
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    """Orthonormal principal directions by length of vector, from one sample taken by hash and bounded over all lengths.
+
+    Lengths that the sample leaves out keep the axes they have.
+    """
+    n, width = classes.agg(F.count("*"), F.coalesce(F.avg("dim"), F.lit(1.0))).first()
+    rows = int(max(1, min(FITTED, FITTED_VALUES // max(1.0, width))))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "h1"), F.lit(1 << 30)) / (1 << 30)
+    sample = classes.where(draw < min(1.0, 1.2 * rows / max(1, n))).orderBy("h1", "h2").limit(rows).select("dim", "embedding").toArrow()
+    dims, found = sample.column("dim").to_numpy(), sample.column("embedding").combine_chunks()
     out = {}
-    for dim, n in sizes.items():
-        share = min(1.0, FITTED / n)
-        draw = F.pmod(F.xxhash64(F.lit(seed), "h1"), F.lit(1 << 30)) / (1 << 30)
-        rows = classes.where((F.col("dim") == dim) & (draw < share)).orderBy("h1", "h2").limit(2 * FITTED).select("embedding").collect()
-        x = _unit(np.array([r[0] for r in rows], np.float64)) if rows else np.eye(dim)
-        x = x - x.mean(0)
+    for dim in np.unique(dims):
+        x = found.filter(pa.array(dims == dim)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        x = _unit(x)
+        x -= x.mean(0)
         _, v = np.linalg.eigh(x.T @ x)
-        out[dim] = np.ascontiguousarray(v[:, ::-1])
+        out[int(dim)] = np.ascontiguousarray(v[:, ::-1])
     return out
 
 
+def _along(x: np.ndarray, basis: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """The first n coordinates of unit vectors in their basis, or in the axes they have."""
+    own = basis.get(x.shape[1])
+    return x[:, :n] if own is None else x @ own[:, :n]
+
+
 def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], eps: float, kind: str) -> DataFrame:
     """Blocks of the sequence: ``label, dim, block, ids, copies, data`` and the bounds ``lo0, hi0, ...`` of each."""
     shared = classes.sparkSession.sparkContext.broadcast(basis)
@@ -75,12 +86,12 @@ def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], eps: float, kind:
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = np.array(batch.column("embedding").take(pa.array(at)).to_pylist(), np.float64)
-                y = _unit(x) @ shared.value[int(dim)][:, :CELLS]
+                y = _along(_unit(x), shared.value, CELLS)
                 found[: y.shape[1], at] = np.floor(y / eps).astype(np.int64).T
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*batch.schema.names, *cells])
 
-    fields = f"class long, label long, dim int, copies long, embedding array<{kind}>"
-    placed = classes.select("class", F.col("label").cast("long").alias("label"), "dim", "copies", "embedding").mapInArrow(place, fields + "".join(f", {c} long" for c in cells))
+    fields = f"class long, label string, dim int, copies long, embedding array<{kind}>"
+    placed = classes.select("class", "label", "dim", "copies", "embedding").mapInArrow(place, fields + "".join(f", {c} long" for c in cells))
     order = ["label", "dim", *cells, "class"]
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("class", "label", "dim", "copies", "embedding", F.spark_partition_id().alias("part"))
     numpy_kind = np.float32 if kind == "float" else np.float64
@@ -92,13 +103,13 @@ def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], eps: float, kind:
         def block() -> pa.RecordBatch:
             nonlocal number
             x = np.array([r[2] for r in held], numpy_kind)
-            y = _unit(x) @ shared.value[key[1]][:, :BOUNDS]
+            y = _along(_unit(x), shared.value, BOUNDS)
             lo, hi = np.zeros(BOUNDS), np.zeros(BOUNDS)
             lo[: y.shape[1]], hi[: y.shape[1]] = y.min(0), y.max(0)
             row = [key[0], key[1], part << 32 | number, np.array([r[0] for r in held], np.int64).tobytes(), np.array([r[1] for r in held], np.int64).tobytes(), x.tobytes()]
             number += 1
             edge = [v for pair in zip(lo, hi) for v in pair]
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.float64()] * len(edge)]
+            types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.float64()] * len(edge)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*row, *edge], types)], ["label", "dim", "block", "ids", "copies", "data", *bounds])
 
         for batch in batches:
@@ -111,7 +122,7 @@ def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], eps: float, kind:
         if held:
             yield block()
 
-    return placed.mapInArrow(pack, "label long, dim int, block long, ids binary, copies binary, data binary" + "".join(f", {b} double" for b in bounds))
+    return placed.mapInArrow(pack, "label string, dim int, block long, ids binary, copies binary, data binary" + "".join(f", {b} double" for b in bounds))
 
 
 def _candidates(blocks: DataFrame, eps: float) -> DataFrame:
@@ -193,9 +204,9 @@ def _compared(pairs: DataFrame, blocks: DataFrame, threshold: float, kind: str)
 def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, key: str = "vec_id") -> DataFrame:
     """``key, n_links, component_id, kept`` for each row of ``key, embedding, label``.
 
-    Rows with the same non-null label and vectors of the same length are linked at a cosine of ``threshold`` or more in
-    double precision. ``n_links`` counts the other rows linked with a row, ``component_id`` is the smallest key
-    reachable by links.
+    Rows with the same non-null label (of any type that can be written as text) and vectors of the same length are linked
+    at a cosine of ``threshold`` or more in double precision. ``n_links`` counts the other rows linked with a row,
+    ``component_id`` is the smallest key reachable by links.
 
     Vectors that are null, zero, or hold nulls or non-finite numbers link with nothing, as do rows with a null label.
     Rows with a null key link with nothing, have no component and are kept. Rows that repeat a key count as vectors of
@@ -203,14 +214,14 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, key: str = "vec
     result.
     """
     spark = vectors.sparkSession
-    kind = "double" if isinstance(vectors.schema["embedding"].dataType.elementType, DoubleType) else "float"
-    d = vectors.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "double"
+    d = vectors.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), F.col("label").cast("string").alias("label"))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding"))
     hashes = {"h1": F.when(good, F.xxhash64("label", "embedding")), "h2": F.when(good, F.xxhash64(F.lit(77), "embedding", "label"))}
     d = d.withColumns(hashes)
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    classes = d.where("h1 is not null").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
-    classes = cut(classes.select("h1", "h2", "label", "copies", "embedding", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("class")))
+    classes = d.where("h1 is not null").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"), F.min("id").alias("least"))
+    classes = cut(classes.select("h1", "h2", "label", "copies", "least", "embedding", F.size("embedding").alias("dim"), F.monotonically_increasing_id().alias("class")))
     blocks = cut(_blocks(classes, _directions(classes), eps, kind))
     pairs = cut(_candidates(blocks, eps))
     held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
@@ -221,14 +232,17 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, key: str = "vec
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     links = found.where("links is not null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "class")
     edges = found.where("v is not null").select("u", "v")
-    rows = d.join(classes.select("h1", "h2", "class", "copies"), ["h1", "h2"], "left").select("id", "class", "copies")
+    # classes are narrow from here on; both sides of each join are cut or shuffled, so large classes and components are split
+    names = classes.select("h1", "h2", "class", "copies")
+    rows = cut(d.select("id", "h1", "h2").join(names, ["h1", "h2"], "left").select("id", "class", "copies"))
     # a key on rows of different vectors joins their classes
-    several = rows.where("class is not null").groupBy("id").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1")
-    meet = rows.join(several.select("id", "c0"), "id").where("class <> c0").select(F.col("class").alias("u"), F.col("c0").alias("v"))
+    several = cut(rows.where("class is not null").groupBy("id").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("id", "c0"))
+    meet = rows.join(several, "id").where("class <> c0").select(F.col("class").alias("u"), F.col("c0").alias("v"))
     component = cut(connected_components(edges.unionByName(meet)).withColumnsRenamed({"node": "class", "component": "comp"}))
-    rows = rows.join(component, "class", "left").withColumn("comp", F.coalesce("comp", "class")).join(links, "class", "left")
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("id").alias("least"))
-    rows = rows.join(least, "comp", "left")
+    own = cut(classes.select("class", "least").join(component, "class", "left").select("class", "least", F.coalesce("comp", "class").alias("comp")).join(cut(links), "class", "left"))
+    least = cut(own.groupBy("comp").agg(F.min("least").alias("component_id")))
+    own = cut(own.join(least, "comp").select("class", "links", "component_id"))
+    rows = rows.join(own, "class", "left")
     n_links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    out = rows.select(F.col("id").alias(key), n_links.cast("long").alias("n_links"), F.coalesce("least", "id").alias("component_id"))
+    out = rows.select(F.col("id").alias(key), n_links.cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

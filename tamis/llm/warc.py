@@ -21,14 +21,14 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.common import cut
+from tamis.llm.common import cut, join_table
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 #: Bytes of an archive that a task scans, and that it reads at once.
 SPLIT_BYTES, READ_BYTES = 32 << 20, 1 << 20
 LEVEL = 4
-#: Repeated digests (about 100 bytes each in memory) up to which their table is broadcast.
+#: Repeated digests (about 100 bytes each in memory) up to which their table is broadcast; of more, only the frequent ones are.
 BROADCAST_DIGESTS = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "record_id string, type string, uri string, refers_to string, digest string, payload_bytes long, payload binary, file string, offset long"
@@ -198,17 +198,25 @@ def archive(pages: DataFrame, path: str) -> None:
     """Writes a record for each row of ``page_id, url, html``; of equal payloads the one with the largest id is the response.
 
     Null html is an empty payload. The others of its kind are revisits that refer to it. Payloads are compared by SHA-1
-    over their UTF-8 bytes. Only ids and digests are shuffled to find the payloads that occur more than once; that table
-    is broadcast if its counted rows are few, else joined by shuffling. Rows that repeat the winning id are all
-    responses; null ids lose to any id, and are responses where there is no other. Other columns are ignored, whatever
-    their names.
+    over their UTF-8 bytes. Only ids and digests are shuffled to find the payloads that occur more than once. Up to
+    BROADCAST_DIGESTS of those are broadcast. Of more, the frequent ones are; then ids are joined with the rest by
+    digest, narrow rows without html, and pages with what was found by id, so no digest gathers its pages in one task.
+    Rows that repeat the winning id are all responses; null ids lose to any id, and are responses where there is no
+    other. Other columns are ignored, whatever their names.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    digest = sha1_base32(payload).alias("digest")
+    several = cut(pages.select("page_id", digest).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1"))
+    repeated, rows = several.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     d = pages.select("page_id", F.coalesce("url", F.lit("")).alias("uri"), payload.alias("payload")).withColumn("digest", sha1_base32(F.col("payload")))
-    several = pages.select("page_id", sha1_base32(payload).alias("digest")).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n"))
-    several = cut(several.where("n > 1").select("digest", "best"))
+    if repeated <= BROADCAST_DIGESTS:
+        d = d.join(F.broadcast(several.drop("n")), "digest", "left")
+    else:
+        # pages whose id is not the best of its digest, by id and digest: an id may be on several rows
+        lost = join_table(pages.select("page_id", digest), several, "digest", "n", rows)
+        lost = lost.where("page_id is null or page_id <> best").select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("_id"), "digest", "best").distinct()
+        d = d.withColumn("_id", F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).join(cut(lost), ["_id", "digest"], "left")
     name = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(">"))
-    d = d.join(F.broadcast(several) if several.count() <= BROADCAST_DIGESTS else several, "digest", "left")
     own = F.coalesce("best", "page_id").eqNullSafe(F.col("page_id"))
     write(
         d.select(

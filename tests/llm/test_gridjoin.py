@@ -1,5 +1,6 @@
 import math
 import random
+from decimal import Decimal
 
 import helpers as h
 import numpy as np
@@ -86,6 +87,24 @@ def test_awkward_rows(spark):
     assert [r.n_links for r in gridjoin.near_vectors(doubles).collect()] == [1, 1]
 
 
+def test_labels_and_numbers_of_any_type(spark):
+    rows = [(i, v, f"l{l}") for i, v, l in clustered(8, 120, 4)]
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")) == brute(rows)
+    exact = [(1, [Decimal("0.1234567890123"), Decimal("1")], True), (2, [Decimal("0.1234567890123"), Decimal("1")], True), (3, [Decimal("1"), Decimal("-7")], False)]
+    assert run(spark.createDataFrame(exact, "vec_id long, embedding array<decimal(20,13)>, label boolean")) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_very_many_lengths_have_one_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(gridjoin, "FITTED", 10)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=1 + i % 40)], 1) for i in range(300)]
+    seen = []
+    inner = gridjoin._directions
+    monkeypatch.setattr(gridjoin, "_directions", lambda c: seen.append(inner(c)) or seen[-1])
+    assert run(spark.createDataFrame(rows, FLOATS)) == brute(rows)
+    assert 0 < len(seen[0]) <= 10
+
+
 def test_forest_spans():
     rng = np.random.default_rng(1)
     for _ in range(20):

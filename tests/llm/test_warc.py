@@ -8,7 +8,7 @@ import random
 import helpers as h
 import pytest
 
-from tamis.llm import queries, warc
+from tamis.llm import common, queries, warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -113,6 +113,15 @@ def test_query_equals_brute_force(spark):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_more_digests_than_are_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(common, "HEAVY_KEYS", 3)
+    rows = [r for r in awkward_pages() if len(r[2] or "") < 500_000] + [(100 + i, "v", "hot") for i in range(50)] + [(200 + i, "w", f"p{i % 9}") for i in range(20)] + [(None, "v", "hot"), (None, "w", "twice"), (None, "w", "twice"), (150, "other", "hot")]
+    _, got = read_back(spark, spark.createDataFrame(rows, PAGES), tmp_path, 1000)
+    got = got.select("*", warc.page_id(got.record_id).alias("page"), warc.page_id(got.refers_to).alias("refers"))
+    assert sorted([(r.page, r.payload_bytes, r.digest, r.type, r.refers) for r in got.collect()], key=str) == brute(rows)
+
+
 def test_empty_table(spark, tmp_path):
     _, got = read_back(spark, spark.createDataFrame([], PAGES), tmp_path, 1000)
     assert got.count() == 0
