@@ -75,3 +75,57 @@ def test_query_round_trip(spark):
     got = queries.op1_sentencepiece(spark, sf).collect()
     assert {r.doc_id: r.decoded_sha256 for r in got} == {i: h.sha256(t) for i, t in docs.items()}
     assert all(r.n_tokens == len(r.ids) and r.decoded_chars == len(docs[r.doc_id]) for r in got)
+
+
+def brute(own, text, key):
+    """The ids of a text by its definition: units, then one candidate after another, every pair looked at each time."""
+    kind = lambda c: own.kind[ord(c)] if ord(c) < len(own.kind) else pieces._REST
+    chars, units = " " + text if text else "", []
+    for i, c in enumerate(chars):
+        before = kind(chars[i - 1]) if i else None
+        if i == 0 or kind(c) == pieces._ALONE or before != pieces._SPACE and kind(c) != before:
+            units.append("")
+        units[-1] += c
+    m = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * pieces._MIX1 & m
+        x = (x ^ x >> 27) * pieces._MIX2 & m
+        return x ^ x >> 31
+
+    out = []
+    for u, unit in enumerate(units):
+        h = mixed((u * pieces._GOLDEN + key) & m)
+        rank = {i: r for r, i in enumerate(sorted(own.piece_id.values(), key=lambda i: (-own.score[i], i)))}
+        # symbols as their text, and whether the pair that each begins has been skipped
+        symbols, skipped, came = [pieces.MARK if c == " " else c if c != pieces.MARK else None for c in unit], [False] * len(unit), 0
+        while True:
+            found = [(rank[own.piece_id[a + b]], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if not skipped[i] and a in own.piece_id and b in own.piece_id and a + b in own.piece_id]
+            if not found:
+                break
+            _, i = min(found)
+            draw = mixed((h + (came // 4 + 1) * pieces._GOLDEN) & m) >> (came % 4 * 16) & 0xFFFF
+            came += 1
+            if draw < own.limit:
+                skipped[i] = True
+                continue
+            symbols[i : i + 2], skipped[i : i + 2] = [symbols[i] + symbols[i + 1]], [False]
+            if i:
+                skipped[i - 1] = False
+        for s, c in zip(symbols, symbols):
+            if s in own.piece_id:
+                out.append(own.piece_id[s])
+            else:
+                out += [int(own.byte_id[b]) for b in (c or pieces.MARK).encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_dropout_is_brute_force(texts, dropout):
+    own = pieces.PieceCodec(queries.MODEL_FILE, dropout, 11)
+    lib = sentencepiece.SentencePieceProcessor(model_file=queries.MODEL_FILE)
+    own.score = {i: lib.get_score(i) for i in own.piece_id.values()}
+    some = [t[:300] for t in texts[:8]] + [t for t in ODD if len(t) < 200]
+    keys = [own.key(i, t) for i, t in enumerate(some)]
+    for t, k, ids in zip(some, keys, own.encode(some, keys)):
+        assert ids.tolist() == brute(own, t, k), t
