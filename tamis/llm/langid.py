@@ -257,8 +257,18 @@ def identified(docs: DataFrame, rows_per_lang: int, order: int, seed: int, keep:
     )
 
 
-def select_identified(docs: DataFrame, *, least_score: float = 0.5, rows_per_lang: int = 400, order: int = 4, seed: int = 20_240) -> DataFrame:
-    """The rows of ``docs``, as they are, whose language is determined with a score of ``least_score`` or more."""
+#: Bits per byte beyond which the shortest code shows that a text is in none of the languages. Text in a learnt language takes
+#: 2 to 3, rarely over 4; bytes as they are take 8.
+MOST_BITS = 6.0
+
+
+def select_identified(
+    docs: DataFrame, *, least_score: float = 0.5, most_bits: float = MOST_BITS, rows_per_lang: int = 400, order: int = 4, seed: int = 20_240
+) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is determined, with a score of ``least_score`` or more and at most ``most_bits`` per byte.
+
+    The score compares the learnt languages with each other; the code length tells texts that are in none of them.
+    """
     found = identified(docs, rows_per_lang, order, seed, None)
-    found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score) & (F.col("bits_per_byte") <= most_bits))
     return found.select(*unpacked(docs.columns, ("doc_id", "text", "lang")))

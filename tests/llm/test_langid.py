@@ -97,9 +97,19 @@ def test_awkward_rows(spark):
 
 def test_columns_come_back_as_they_were(spark):
     docs = h.awkward_documents(spark)
-    out = langid.select_identified(h.with_clashes(docs), least_score=0.0)
+    out = langid.select_identified(h.with_clashes(docs), least_score=0.0, most_bits=99)
     assert out.columns == h.with_clashes(docs).columns
-    assert h.rows_of(out, *docs.columns) == h.rows_of(langid.select_identified(docs, least_score=0.0), *docs.columns)
+    assert h.rows_of(out, *docs.columns) == h.rows_of(langid.select_identified(docs, least_score=0.0, most_bits=99), *docs.columns)
     assert {tuple(r[c] for c in h.CLASHES) for r in out.collect()} == {tuple(f"clash {c}" for c in h.CLASHES)}
     got = langid.identify(h.with_clashes(docs), keep=("score", "a b", "text")).first()
     assert (got["kept_score"], got["a b"]) == ("clash score", "clash a b") and "text" in got
+
+
+def test_texts_in_no_learnt_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    odd = [(10**6 + i, " ".join("".join(rng.choice("bcdfghjkqvwxz") for _ in range(6)) for _ in range(30)), None) for i in range(20)] + [(2 * 10**6, "поезд опять опоздал и люди терпеливо смотрели на табло", None)]
+    out = langid.select_identified(docs.unionByName(spark.createDataFrame(odd, docs.schema)))
+    kept = {r.doc_id for r in out.collect()}
+    assert not kept & {i for i, *_ in odd}
+    assert kept == {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}
