@@ -263,14 +263,16 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     if more.limit(1).count():
         links = links.unionByName(more)
         component = cut(connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp")))
-    of_class = ids.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    found = signed.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     # an id on rows of different texts is one document: its classes meet
-    several = found.where("class_id is not null and doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("c0"), F.max("class_id").alias("c1")).where("c0 <> c1")
-    meet = cut(found.join(several.select("doc_id"), "doc_id", "left_semi").where("class_id is not null").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")).distinct())
+    of_class = cut(ids.groupBy("digest").agg(F.min("doc_id").alias("class_id")))
+    several = cut(ids.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("doc_id"))
+    meet = ids.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(of_class, "digest")
+    meet = cut(meet.where("doc_id <> class_id").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")))
     if meet.count():
         component = cut(connected_components(links.unionByName(meet)).select(F.col("node").alias("id"), F.col("component").alias("comp")))
-    found = found.join(component.select(F.col("id").alias("class_id"), "comp"), "class_id", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "class_id", "doc_id"))
+    # components are joined with classes, and rows with those once, by digest
+    names = cut(of_class.join(component.select(F.col("id").alias("class_id"), "comp"), "class_id", "left").select("digest", "class_id", F.coalesce("comp", "class_id").alias("comp")))
+    found = signed.select("doc_id", "n_shingles", "digest").join(names, "digest", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     found = found.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), own.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
