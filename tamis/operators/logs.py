@@ -6,27 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: The steps of a request's findings, in order.
-STEPS = "RAW MERGED OVERLAP GATED POSTFILTERED FINAL".split()
+# The steps of a request's findings as the pipeline logs them, in order.
+STEPS = [
+    "COMPOSITE_REGEX_RAW", "COMPOSITE_PRESIDIO_RAW", "COMPOSITE_MINISTRAL_RAW", "COMPOSITE_AFTER_MERGE", "MERGER_AFTER_DEDUP", "MERGER_AFTER_OVERLAP",
+    "GRPC_AFTER_DETECTION", "GRPC_AFTER_TYPE_CONFIG_FILTER", "GRPC_FINAL_RESPONSE",
+]
+# Fields of a throughput line that are whole numbers, and those that are not passed on.
+WHOLE = ("chars", "entities_in", "entities_kept", "entities_rejected", "entities_final")
+MEASURES = ("phase", "request_id", "chars", "duration_s", "duration_ms", "chars_per_s")
+
+_PAIR = r"([A-Za-z_][A-Za-z0-9_.]*)=(\"[^\"]*\"|\S+)"
 
 
 def parse_throughput(lines: DataFrame, tag: str = "[THROUGHPUT]") -> DataFrame:
     """``phase, request_id, chars, duration_s, chars_per_s, extra`` of lines with a tag and ``key=value`` pairs.
 
-    Quoted values may hold blanks. ``duration_ms`` becomes seconds, a missing rate is derived; lines without a phase,
-    with numbers that are none, or without a duration are skipped.
+    Values in quotes may hold blanks; the last of repeated keys counts. Whole numbers may be written ``42.0``.
+    ``duration_ms`` becomes seconds, a missing rate is derived (0 without time). Lines without phase, request, characters
+    or a duration, or where these are no numbers, are skipped. ``extra`` holds all other fields as text.
     """
     v = F.col("value")
-    body = F.substring_index(v, tag, -1)
-    pairs = F.regexp_extract_all(body, F.lit(r"([A-Za-z_]+)=(\"[^\"]*\"|\S+)"), F.lit(1)), F.regexp_extract_all(body, F.lit(r"([A-Za-z_]+)=(\"[^\"]*\"|\S+)"), F.lit(2))
-    first = F.map_from_entries(F.transform(F.array_distinct(pairs[0]), lambda k: F.struct(k, F.trim(F.get(pairs[1], F.array_position(pairs[0], k).cast("int") - 1), F.lit('"')))))
-    d = lines.where(v.contains(tag)).select(first.alias("m"))
-    number = lambda k, kind: F.col("m")[k].try_cast(kind)
-    d = d.withColumns({"phase": F.col("m")["phase"], "request_id": F.col("m")["request_id"], "chars": number("chars", "int")})
-    d = d.withColumn("duration_s", F.coalesce(number("duration_s", "double"), number("duration_ms", "double") / 1000))
-    d = d.withColumn("chars_per_s", F.coalesce(number("chars_per_s", "double"), F.when(F.col("duration_s") > 0, F.col("chars") / F.col("duration_s"))))
-    known = ("phase", "request_id", "chars", "duration_s", "duration_ms", "chars_per_s")
-    return d.where("phase is not null and chars is not null and duration_s is not null").select("phase", "request_id", "chars", "duration_s", "chars_per_s", F.map_filter("m", lambda k, _: ~k.isin(*known)).alias("extra"))
+    body = F.regexp_extract(v, r"\Q" + tag + r"\E\s+(.*)$", 1)
+    # each line is searched twice, for keys and for values; the lists are named, so nothing is evaluated again
+    d = lines.where(v.contains(tag)).select(body.alias("body"))
+    d = d.select(F.regexp_extract_all("body", F.lit(_PAIR), F.lit(1)).alias("keys"), F.regexp_extract_all("body", F.lit(_PAIR), F.lit(2)).alias("found"))
+    d = d.select(F.explode(F.array(F.struct("keys", F.transform("found", lambda x: F.trim(x, F.lit('"'))).alias("found")))).alias("x"))  # a row each: a barrier to inlining
+    keys, found = F.col("x.keys"), F.col("x.found")
+    # the last of a key, counted from the end
+    of = lambda k: F.get(F.reverse(found), F.array_position(F.reverse(keys), F.lit(k)).cast("int") - 1)
+    number = lambda k: of(k).try_cast("double")
+    whole = lambda k: F.coalesce(of(k).try_cast("long"), F.when(~F.isnan(number(k)), number(k).cast("long")))
+    entries = F.filter(F.arrays_zip(keys.alias("k"), found.alias("v")), lambda e: ~e["k"].isin(*MEASURES))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda o: o["k"] == e["k"]))
+    shown = lambda e: F.when(e["k"].isin(*WHOLE), F.coalesce(e["v"].try_cast("long"), e["v"].try_cast("double").cast("long")).cast("string")).otherwise(F.lit(None))
+    extra = F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"].alias("k"), F.coalesce(shown(e), e["v"]).alias("v"))))
+    d = d.select(of("phase").alias("phase"), of("request_id").alias("request_id"), whole("chars").alias("chars"), F.coalesce(number("duration_s"), number("duration_ms") / 1000).alias("duration_s"), number("chars_per_s").alias("_rate"), extra.alias("extra"))
+    d = d.where("phase is not null and request_id is not null and chars is not null and duration_s is not null")
+    derived = F.when(F.col("duration_s") > 0, F.col("chars") / F.col("duration_s")).otherwise(0.0)
+    return d.select("phase", "request_id", F.col("chars").cast("int").alias("chars"), "duration_s", F.coalesce("_rate", derived).alias("chars_per_s"), "extra")
 
 
 def percentiles(d: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -45,9 +62,18 @@ def delta(now: DataFrame, base: DataFrame, key: str = "phase") -> DataFrame:
 
 def bench_summary(samples: DataFrame, *keys: str) -> DataFrame:
     """Samples (``chars, duration_ms, findings``) by keys: sums, mean, median, 95th percentile by position, weighted rate."""
-    at = lambda a: F.greatest(F.lit(0), F.floor(F.size(a) * F.lit(95) / 100).cast("int") - 1)
-    d = samples.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("findings").alias("findings"), F.sum("duration_ms").alias("duration_ms"), F.avg("duration_ms").alias("mean_ms"), F.percentile("duration_ms", 0.5).alias("median_ms"), F.sort_array(F.collect_list("duration_ms")).alias("_all"))
-    return d.withColumn("p95_ms", F.get("_all", at(F.col("_all")))).withColumn("chars_per_s", F.when(F.col("duration_ms") > 0, F.col("chars") * 1000.0 / F.col("duration_ms"))).drop("_all")
+    if not keys:
+        return bench_summary(samples.withColumn("_all", F.lit(0)), "_all").drop("_all")
+    d = samples.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("findings").alias("findings"), F.sum("duration_ms").alias("duration_ms"), F.avg("duration_ms").alias("mean_ms"), F.percentile("duration_ms", 0.5).alias("median_ms"))
+    # the 95th by position of the sorted durations, from counts by duration: no list of a key's samples
+    keyed = samples.groupBy(*keys, "duration_ms").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy("duration_ms")
+    ranked = keyed.where("duration_ms is not null").select(*keys, "duration_ms", F.sum("_c").over(upto).alias("_upto"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
+    wanted = F.greatest(F.lit(0), F.floor(F.col("_n") * F.lit(95) / 100).cast("long") - 1)
+    p95 = ranked.where(F.col("_upto") > wanted).groupBy(*keys).agg(F.min("duration_ms").alias("p95_ms"))
+    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    d = d.alias("d").join(p95.alias("p"), on, "left").select("d.*", "p.p95_ms")
+    return d.withColumn("chars_per_s", F.when(F.col("duration_ms") > 0, F.col("chars") * 1000.0 / F.col("duration_ms")))
 
 
 def speedups(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -59,20 +85,38 @@ def slowest(d: DataFrame, n: int = 10) -> DataFrame:
     return d.orderBy("chars_per_s", "request_id").limit(n)
 
 
-def parse_funnel(lines: DataFrame) -> DataFrame:
-    """``request_id, step, findings`` of lines ``[FINDINGS] [id] STEP=n``; without an id the request is empty."""
-    v, pattern = F.col("value"), r"\[FINDINGS\](?: \[([^\]]*)\])? ([A-Z_]+)=(\d+)"
-    return lines.where(v.rlike(pattern)).select(F.regexp_extract(v, pattern, 1).alias("request_id"), F.regexp_extract(v, pattern, 2).alias("step"), F.regexp_extract(v, pattern, 3).cast("long").alias("findings"))
+def parse_funnel(lines: DataFrame, tag: str = "[FINDING_TRACKER]") -> DataFrame:
+    """``request_id, step, count, in, out, dropped`` of lines ``TAG [id] step=NAME count=N`` or ``TAG step=NAME in=N out=M dropped=K``.
+
+    The request, in brackets, may be missing (null), as may what was dropped; a step without numbers is a row of nulls.
+    """
+    v = F.col("value")
+    head = r"\Q" + tag + r"\E(?:\s*\[([^\]]+)\])?\s+step=(\w+)(.*)$"
+    d = lines.where(v.contains(tag) & v.rlike(head))
+    d = d.select(F.nullif(F.regexp_extract(v, head, 1), F.lit("")).alias("request_id"), F.regexp_extract(v, head, 2).alias("step"), F.regexp_extract(v, head, 3).alias("_rest"))
+    counted, passed = r"^\s+count=(\d+)", r"^(?:\s+count=\d+)?\s+in=(\d+)\s+out=(\d+)(?:\s+dropped=(-?\d+))?"
+    number = lambda pattern, k: F.regexp_extract("_rest", pattern, k).try_cast("long")
+    return d.select("request_id", "step", number(counted, 1).alias("count"), number(passed, 1).alias("in"), number(passed, 2).alias("out"), number(passed, 3).alias("dropped"))
 
 
 def funnel(d: DataFrame, steps: list[str] = STEPS, large: int = 5) -> DataFrame:
-    """Each request's steps in order: what was dropped since the step before, the share of the first, a mark for large drops."""
-    at = F.array_position(F.array(*map(F.lit, steps)), F.col("step"))
-    order = Window.partitionBy("request_id").orderBy("_at")
-    d = d.withColumn("_at", at).where("_at > 0").withColumn("dropped", F.lag("findings").over(order) - F.col("findings"))
-    first = F.first("findings").over(order)
-    recall = F.when(first > 0, F.col("findings") * 100.0 / first)
-    return d.select("request_id", "step", "findings", "dropped", recall.alias("recall_pct"), F.coalesce(F.col("dropped") >= large, F.lit(False)).alias("marked"))
+    """Each request's steps: findings after them, dropped, the share of the first step's, a mark for large drops since the step before.
+
+    Steps that are not in the list come last and without a share (``position`` null). Of a step that a request logs more
+    than once, the largest findings count, as the order of lines is not known. Requests without an id are one, ``<no-request-id>``.
+    """
+    at = F.nullif(F.array_position(F.array(*map(F.lit, steps)), F.col("step")), F.lit(0))
+    d = d.withColumn("request_id", F.coalesce("request_id", F.lit("<no-request-id>"))).withColumn("position", at)
+    findings, first = F.coalesce("count", "out"), F.coalesce("count", "in")
+    gone = F.when(F.col("count").isNull(), F.coalesce("dropped", F.col("in") - F.col("out")))
+    row = F.max(F.struct(findings.alias("findings"), first.alias("first"), gone.alias("dropped"))).alias("x")
+    d = d.groupBy("request_id", "position", "step").agg(row).select("request_id", "position", "step", "x.*")
+    order = Window.partitionBy("request_id").orderBy("position")
+    known, initial = d.where("position is not null"), F.coalesce(F.first("first").over(order), F.lit(0))
+    recall = F.when((initial > 0) & F.col("findings").isNotNull(), F.col("findings") * 100.0 / initial).otherwise(0.0)
+    marked = F.coalesce(F.lag("findings").over(order) - F.col("findings") >= large, F.lit(False))
+    known = known.select("request_id", "position", "step", "findings", "dropped", recall.alias("recall_pct"), marked.alias("marked"))
+    return known.unionByName(d.where("position is null").select("request_id", "position", "step", "findings", "dropped", F.lit(None).cast("double").alias("recall_pct"), F.lit(False).alias("marked")))
 
 
 def tsv_row(*columns: Column) -> Column:

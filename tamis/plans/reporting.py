@@ -257,29 +257,53 @@ def top01_slowest(spark, sf):
 
 
 @query(
-    """WITH l AS (SELECT event_id, user_id, event_type, CAST(event_id % 5000 AS INT) AS chars, CAST(1 + event_id % 300 AS DOUBLE) AS ms FROM events WHERE event_id % 11 <> 0)
-    SELECT event_type AS phase, CAST(user_id AS VARCHAR) AS request_id, chars, ms / 1000 AS duration_s, chars / (ms / 1000) AS chars_per_s, 'pool ' || (event_id % 3) AS note FROM l"""
+    """WITH l AS (SELECT event_id, user_id, event_type, CAST(event_id % 5000 AS INT) AS chars, CAST(1 + event_id % 300 AS DOUBLE) AS ms FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0)
+    SELECT event_type AS phase, CAST(user_id AS VARCHAR) AS request_id, chars, ms / 1000 AS duration_s, chars / (ms / 1000) AS chars_per_s, 'pool ' || (event_id % 3) AS note, '7' AS p95, '42' AS entities FROM l"""
 )
 def fn01_throughput_lines(spark, sf):
-    """Log lines written from the events and read back; each eleventh is broken."""
-    e = table(spark, sf, "events")
-    ms = F.when(F.col("event_id") % 11 == 0, F.lit("n/a")).otherwise((1 + F.col("event_id") % 300).cast("string"))
-    line = F.concat(F.lit("2024 INFO [THROUGHPUT] phase="), "event_type", F.lit(" request_id="), "user_id", F.lit(" chars="), F.col("event_id") % 5000, F.lit(" duration_ms="), ms, F.lit(' note="pool '), F.col("event_id") % 3, F.lit('"'))
-    return L.parse_throughput(e.select(line.alias("value"))).withColumn("note", F.col("extra")["note"]).drop("extra")
+    """Log lines written from the events and read back; some have no duration, some no request."""
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    ms = F.when(i % 11 == 0, F.lit("n/a")).otherwise((1 + i % 300).cast("string"))
+    request = F.when(i % 13 == 0, "").otherwise(F.concat(F.lit(" request_id="), "user_id"))
+    chars = F.concat((i % 5000).cast("string"), F.when(i % 7 == 0, ".0").otherwise(""))
+    line = F.concat(F.lit("2026-05-25 12:34:56,789 INFO throughput [THROUGHPUT] phase="), "event_type", request, F.lit(" chars="), chars, F.lit(" duration_ms="), ms, F.lit(' note="pool '), i % 3, F.lit('" grpc.p95=7 entities_in=42.0'))
+    d = L.parse_throughput(e.select(line.alias("value")))
+    return d.withColumns({"note": F.col("extra")["note"], "p95": F.col("extra")["grpc.p95"], "entities": F.col("extra")["entities_in"]}).drop("extra")
+
+
+#: Steps by hand, in the order of a request; the 4th to 6th and the 8th say what came in and went out, the others a count.
+_SQL_STEPS = """['COMPOSITE_REGEX_RAW', 'COMPOSITE_PRESIDIO_RAW', 'COMPOSITE_MINISTRAL_RAW', 'COMPOSITE_AFTER_MERGE', 'MERGER_AFTER_DEDUP', 'MERGER_AFTER_OVERLAP',
+    'GRPC_AFTER_DETECTION', 'GRPC_AFTER_TYPE_CONFIG_FILTER', 'GRPC_FINAL_RESPONSE', 'SOMETHING_ELSE']"""
+_SQL_FUNNEL = f"""f AS (SELECT event_id // 10 AS r, event_id % 10 AS pos, {_SQL_STEPS}[event_id % 10 + 1] AS step, 100 - (event_id % 10) * (event_id % 11) AS findings, event_id % 4 AS gone,
+    event_id % 10 IN (3, 4, 5, 7) AS passed FROM events)"""
+
 
+def _funnel_lines(spark, sf) -> DataFrame:
+    e, i = table(spark, sf, "events"), F.col("event_id")
+    names = [*L.STEPS, "SOMETHING_ELSE"]
+    left, gone = 100 - (i % 10) * (i % 11), i % 4
+    numbers = F.when((i % 10).isin(3, 4, 5, 7), F.concat(F.lit("in="), left + gone, F.lit(" out="), left, F.when(gone != 3, F.concat(F.lit(" dropped="), gone)).otherwise(""))).otherwise(F.concat(F.lit("count="), left))
+    request = F.when(F.floor(i / 10) % 5 == 4, "").otherwise(F.concat(F.lit(" [req_"), F.floor(i / 10), F.lit("]")))
+    return e.select(F.concat(F.lit("2026 INFO pii - [FINDING_TRACKER]"), request, F.lit(" step="), F.get(F.array(*map(F.lit, names)), (i % 10).cast("int")), F.lit(" "), numbers).alias("value"))
 
-_SQL_FUNNEL = "f AS (SELECT CAST(event_id // 6 AS VARCHAR) AS request_id, ['RAW', 'MERGED', 'OVERLAP', 'GATED', 'POSTFILTERED', 'FINAL'][event_id % 6 + 1] AS step, event_id % 6 AS pos, 100 - (event_id % 6) * (event_id % 13) AS findings FROM events)"
+
+@query(
+    f"""WITH {_SQL_FUNNEL} SELECT CASE WHEN r % 5 <> 4 THEN 'req_' || r END AS request_id, step, CASE WHEN NOT passed THEN findings END AS count, CASE WHEN passed THEN findings + gone END AS "in",
+        CASE WHEN passed THEN findings END AS "out", CASE WHEN passed AND gone <> 3 THEN gone END AS dropped FROM f"""
+)
+def fn02_funnel_lines(spark, sf):
+    """Lines of the finding tracker read back, some without a request."""
+    return L.parse_funnel(_funnel_lines(spark, sf))
 
 
 @query(
-    f"""WITH {_SQL_FUNNEL}, w AS (SELECT *, lag(findings) OVER (PARTITION BY request_id ORDER BY pos) - findings AS dropped, first_value(findings) OVER (PARTITION BY request_id ORDER BY pos) AS f0 FROM f)
-    SELECT request_id, step, findings, dropped, CASE WHEN f0 > 0 THEN findings * 100.0 / f0 END AS recall_pct, coalesce(dropped >= 5, false) AS marked FROM w"""
+    f"""WITH {_SQL_FUNNEL}, o AS (SELECT * FROM f WHERE r % 5 <> 4), w AS (SELECT *, lag(findings) OVER (PARTITION BY r ORDER BY pos) - findings AS less,
+        first_value(CASE WHEN passed THEN findings + gone ELSE findings END) OVER (PARTITION BY r ORDER BY pos) AS f0 FROM o WHERE pos < 9)
+    SELECT 'req_' || r AS request_id, pos + 1 AS position, step, findings, CASE WHEN passed THEN gone END AS dropped, CASE WHEN f0 > 0 THEN findings * 100.0 / f0 ELSE 0 END AS recall_pct, coalesce(less >= 5, false) AS marked FROM w
+    UNION ALL SELECT 'req_' || r, NULL, step, findings, NULL, NULL, false FROM o WHERE pos = 9"""
 )
 def agg13_finding_funnel(spark, sf):
-    e, i = table(spark, sf, "events"), F.col("event_id")
-    step = F.get(F.array(*map(F.lit, L.STEPS)), (i % 6).cast("int"))
-    line = F.concat(F.lit("x [FINDINGS] ["), F.floor(i / 6), F.lit("] "), step, F.lit("="), 100 - (i % 6) * (i % 13))
-    return L.funnel(L.parse_funnel(e.select(line.alias("value"))))
+    return L.funnel(L.parse_funnel(_funnel_lines(spark, sf)).where("request_id is not null"))
 
 
 @query(
