@@ -22,6 +22,20 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'
 LINE_BREAK = rf"(?i:</?(?:{'|'.join(LINE_TAGS)}|h[0-9])[^>]*>|<br/?>)|\n"
 
 
+# The characters that are white space in Unicode.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """Without the white space of any kind around it."""
+    return F.trim(text, F.lit(WHITE))
+
+
+def is_blank(text: Column) -> Column:
+    """Null, empty or white space only."""
+    return F.coalesce(~text.rlike(f"[^{WHITE}]"), F.lit(True))
+
+
 def is_html(text: Column) -> Column:
     """At least ten characters, and in the first thousand an angle bracket of each kind and the start of a known tag."""
     head = F.lower(F.substring(text, 1, 1000))
@@ -66,7 +80,7 @@ def quality_reason(text: Column) -> Column:
     """The first rule by which a text is taken for an image without text; null if it is text."""
     n = F.length(text)
     return (
-        F.when(F.coalesce(F.trim(F.regexp_replace(text, r"\s", "")), F.lit("")) == "", "blank")
+        F.when(is_blank(text), "blank")
         .when(n < 50, "too_short")
         .when(_share(text, r"(?U)[^\p{L}\p{Nd}]") < 0.05, "low_alphanumeric")
         .when((n > 100) & (_share(text, "[^ ]") < 0.02), "insufficient_spacing")
@@ -81,7 +95,7 @@ def extension(name: Column) -> Column:
 
 
 def is_extractable(ext: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(ext)).isin(EXTRACTABLE), F.lit(False))
+    return F.coalesce(F.lower(strip(ext)).isin(EXTRACTABLE), F.lit(False))
 
 
 def char_chunks(text: Column, size: int, overlap: int, chars_per_token: int = 4) -> Column:

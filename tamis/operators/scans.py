@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tamis.functions.text import is_blank, strip
+
 EVENT_TYPES = "multiStart start pageStart item attachmentItem pageComplete scanError complete multiComplete keepalive".split()
 KEY = ["scan_id", "space_key"]
 
@@ -24,7 +26,7 @@ TRANSITIONS = (
 
 def appended(events: DataFrame, order: list[str], store: DataFrame | None = None) -> DataFrame:
     """New events with their numbers: per scan from the store's largest on, in order. Blank scans or types are refused."""
-    good = events.where((F.trim("scan_id") != "") & (F.trim("event_type") != ""))
+    good = events.where(~is_blank(F.col("scan_id")) & ~is_blank(F.col("event_type")))
     number = F.row_number().over(Window.partitionBy("scan_id").orderBy(*order)).cast("long")
     if store is None:
         return good.withColumn("event_seq", number)
@@ -72,7 +74,7 @@ def checkpoints(rows: DataFrame) -> DataFrame:
 
     A paused scan stays paused whatever is still running; anything else replaces the status.
     """
-    last = lambda c: F.max_by(c, F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "", F.col("event_seq")))
+    last = lambda c: F.max_by(c, F.when(~is_blank(F.col(c).cast("string")), F.col("event_seq")))
     said = F.max_by("status", F.when(F.col("status") != "RUNNING", F.col("event_seq")))
     paused = F.max(F.when(F.col("status") != "RUNNING", F.col("event_seq")))
     ran = F.max(F.when(F.col("status") == "RUNNING", F.col("event_seq")))
@@ -89,7 +91,7 @@ def latest_checkpoints(rows: DataFrame) -> DataFrame:
 def space_stats(events: DataFrame) -> DataFrame:
     """First start, last completion, pages, attachments, characters and failures by scan and space."""
     kind, chars = F.col("event_type"), F.coalesce("chars", F.lit(0))
-    named = F.coalesce(F.trim("attachment_name"), F.lit("")) != ""
+    named = ~is_blank(F.col("attachment_name"))
     started, finished = F.min(F.when(kind == "start", F.col("ts"))), F.max(F.when(kind == "complete", F.col("ts")))
     return events.groupBy(*KEY).agg(
         started.alias("started_at"), finished.alias("finished_at"), duration_ms(started, finished).alias("duration_ms"),
@@ -160,7 +162,7 @@ def latest_items(events: DataFrame, states: DataFrame) -> DataFrame:
 
 def failed_items(events: DataFrame, limit: int = 20) -> DataFrame:
     """Distinct failed items in the order they first failed, at most ``limit``."""
-    named = F.coalesce(F.trim("attachment_name"), F.lit("")) != ""
+    named = ~is_blank(F.col("attachment_name"))
     kind, name = F.when(named, "ATTACHMENT").otherwise("PAGE"), F.when(named, F.col("attachment_name")).otherwise(F.col("page_id"))
     failed = events.where("event_type = 'scanError'").groupBy(kind.alias("kind"), name.alias("name")).agg(F.min("event_seq").alias("first_seq"))
     return failed.orderBy("first_seq").limit(limit)
@@ -178,7 +180,7 @@ def remaining_pages(pages: DataFrame, states: DataFrame) -> DataFrame:
 
     After the last page; that page again if an attachment of it was in progress; all for an unknown page; none if completed.
     """
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    blank = lambda c: is_blank(F.col(c))
     last = pages.select("space_key", F.col("page_id").alias("last_page"), F.col("idx").alias("_last"))
     s = states.join(last, ["space_key", "last_page"], "left")
     busy = ~blank("last_attachment")
@@ -239,12 +241,12 @@ def has_been_updated(last_modified: Column, last_scan: Column) -> Column:
 def data_owners(permissions: DataFrame) -> DataFrame:
     """Distinct active administrators with an address (``space_key, operation, target, users``)."""
     one = permissions.where((F.col("operation") == "administer") & (F.col("target") == "space")).select("space_key", F.explode("users").alias("u"))
-    return one.where("u.active and trim(coalesce(u.email, '')) <> ''").select("space_key", "u.name", "u.email").distinct()
+    return one.where(F.col("u.active") & ~is_blank(F.col("u.email"))).select("space_key", "u.name", "u.email").distinct()
 
 
 def language_matches(lang: Column, wanted: list[str]) -> Column:
     """In any case, one being a prefix of the other; a missing language matches."""
-    own = F.lower(F.trim(lang))
+    own = F.lower(strip(lang))
     hit = reduce(lambda a, w: a | own.startswith(w.lower()) | F.lit(w.lower()).startswith(own), wanted, F.lit(False))
     return F.coalesce(own, F.lit("")).isin("") | hit
 

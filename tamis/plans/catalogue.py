@@ -189,10 +189,10 @@ def srt02_sorted_findings(spark, sf):
     return each_span(regex_spans(spark, sf), "doc_id").select("doc_id", "x.start", "x.pii_type", "x.score").orderBy(F.desc("pii_type"), "score", "doc_id", "start")
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, length(trim(text)) = 0 AS blank FROM documents")
+@query(r"SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, trim(regexp_replace(coalesce(text, ''), '\s', '', 'g')) = '' AS blank FROM documents")
 def win02_page_index(spark, sf):
     order = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), (F.length(F.trim("text")) == 0).alias("blank"))
+    return table(spark, sf, "documents").select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), T.is_blank(F.col("text")).alias("blank"))
 
 
 # -- states, spaces, dates

@@ -149,3 +149,45 @@ def test_model_hook(spark):
 
     got = {r.doc_id: [(x.start, x.pii_type) for x in r.spans] for r in model.detect_with(docs, ask, {"person_name": "PERSON"}).collect()}
     assert got == {1: [(0, "PERSON"), (8, "ODD_ONE")], 2: [], 3: []}
+
+
+def test_a_text_with_very_many_spans(spark):
+    """Folds go in blocks, so a log of 30,000 addresses is a matter of seconds."""
+    import time
+
+    text = " ".join(f"10.{i % 200}.3.4 u{i}@example.org" for i in range(30_000))
+    d = spark.createDataFrame([(text,)], "text string")
+    began = time.perf_counter()
+    spans = S.merge(S.detect(F.col("text")), S.detect(F.col("text"), R.ENTITY_RULES))
+    got = d.select(F.size(spans).alias("n"), F.length(S.mask(F.col("text"), spans)).alias("m")).first()
+    assert got.n == 60_000 and got.m == len(" ".join(["[IP_ADDRESS] [EMAIL]"] * 30_000))
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("block", [2, 3, 256])
+def test_blocks_do_not_matter(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    rng = random.Random(block)
+    rows = []
+    for _ in range(60):
+        text = "".join(rng.choice("ab é😀") for _ in range(40))
+        spans = [(a, min(40, a + rng.randrange(1, 9)), rng.choice("AB"), "x", rng.choice([0.5, 0.9]), "S", rng.randrange(1, 4), i) for i in range(rng.randrange(12)) for a in [rng.randrange(39)]]
+        rows.append((text, spans))
+    d = spark.createDataFrame(rows, f"text string, spans {S.SPANS}")
+    got = d.select("text", "spans", S.resolve_by_priority(F.col("spans")).alias("p"), S.resolve_by_type(F.col("spans")).alias("t"), S.mask(F.col("text"), F.col("spans")).alias("m")).collect()
+
+    def greedy(spans, key, clash):
+        kept = []
+        for s in sorted(spans, key=key):
+            if not any(s.start < k.end and k.start < s.end and clash(s, k) for k in kept):
+                kept.append(s)
+        return sorted(kept)
+
+    for r in got:
+        assert r.p == greedy(r.spans, lambda s: (-s.priority, -s.score, s.ord, s.start), lambda s, k: True)
+        assert r.t == greedy(r.spans, lambda s: (s.start, -s.end, -s.score), lambda s, k: s.pii_type == k.pii_type)
+        out, at = "", 0
+        for s in sorted(r.spans):
+            if s.start >= at:
+                out, at = out + r.text[at : s.start] + f"[{s.pii_type}]", s.end
+        assert r.m == out + r.text[at:]
