@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,34 +99,82 @@ def join_table(rows: DataFrame, table: DataFrame, key: str, count: str, total: i
     return here.unionByName(there)
 
 
+#: Edges that a task contracts at once, and up to which one task contracts a whole graph.
+LOCAL_EDGES = 100_000
+
+
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of some edges that is not the least of its component, and that least node."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            break
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges of the same components: those of each LOCAL_EDGES in a partition as stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def stars() -> pa.RecordBatch:
+            u, v = _roots(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, LOCAL_EDGES):
+                part = batch.slice(lo, LOCAL_EDGES)
+                if held and n + part.num_rows > LOCAL_EDGES:
+                    yield stars()
+                    held, n = [], 0
+                held.append([part.column(c).to_numpy() for c in ("u", "v")])
+                n += part.num_rows
+        if held:
+            yield stars()
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``(u, v)`` of long -> ``(node, component)``, the smallest node reachable.
 
-    Alternating large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce and
-    Beyond", 2014): every step is one minimum per node, pre-aggregated before its shuffle, and one join back. The minima
-    are cut from their lineage first, so both sides of the join are shuffled and a node with many neighbours is split
-    by the adaptive skew join; its edges are never gathered in one place. The edges of each round are cut from their
-    lineage in the shared folder. Nodes without an edge are not returned; self-loops are allowed.
+    Edges are first contracted to stars within each partition, which settles a graph of one partition of up to
+    LOCAL_EDGES. Larger ones go on by alternating large-star and small-star steps (Kiveris et al., "Connected Components
+    in MapReduce and Beyond", 2014): every step is one minimum per node, pre-aggregated before its shuffle, and one join
+    back. The minima are cut from their lineage first, so both sides of the join are shuffled and a node with many
+    neighbours is split by the adaptive skew join; its edges are never gathered in one place. The edges of each round
+    are cut from their lineage in the shared folder. Nodes without an edge are not returned; self-loops are allowed.
     """
     now = cut(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null").distinct())
     loops = now.where("u = v").select(F.col("u").alias("node"))
-    now = now.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rows, mark = now.count(), None
-    while True:
-        parts = max(2, rows // 100_000)
-        now = now.coalesce(parts)
+    now = now.where("u <> v")
+    rows = now.count()
+    parts = -(-rows // LOCAL_EDGES)
+    if rows:
+        now = cut(_contracted(now.coalesce(parts)))
+    settled = parts <= 1
+    size = lambda: now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    mark = None if settled else size()
+    while not settled:
+        now = now.coalesce(max(2, mark[0] // LOCAL_EDGES))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))).coalesce(parts)
+        least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every edge of large points down (u > v): small-star joins what each node points to with its least
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"))).coalesce(parts)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("a"), "u", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         now = cut(small.where("u <> v").distinct())
-        rows, total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if (rows, total) == mark:
-            break
-        mark = (rows, total)
+        mark, before = size(), mark
+        settled = mark == before
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     alone = loops.join(found, "node", "left_anti").join(roots, "node", "left_anti").select("node", F.col("node").alias("component"))

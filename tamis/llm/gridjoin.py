@@ -75,7 +75,7 @@ def _along(x: np.ndarray, basis: dict[int, np.ndarray], n: int) -> np.ndarray:
 
 
 def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], eps: float, kind: str) -> DataFrame:
-    """Blocks of the sequence: ``label, dim, block, ids, copies, data`` and the bounds ``lo0, hi0, ...`` of each."""
+    """Blocks of the sequence: ``label, dim, block, ids, least, copies, data`` and the bounds ``lo0, hi0, ...`` of each."""
     shared = classes.sparkSession.sparkContext.broadcast(basis)
     cells = [f"cell{i}" for i in range(CELLS)]
 
@@ -90,10 +90,10 @@ def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], eps: float, kind:
                 found[: y.shape[1], at] = np.floor(y / eps).astype(np.int64).T
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*batch.schema.names, *cells])
 
-    fields = f"class long, label string, dim int, copies long, embedding array<{kind}>"
-    placed = classes.select("class", "label", "dim", "copies", "embedding").mapInArrow(place, fields + "".join(f", {c} long" for c in cells))
+    fields = f"class long, least long, label string, dim int, copies long, embedding array<{kind}>"
+    placed = classes.select("class", "least", "label", "dim", "copies", "embedding").mapInArrow(place, fields + "".join(f", {c} long" for c in cells))
     order = ["label", "dim", *cells, "class"]
-    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("class", "label", "dim", "copies", "embedding", F.spark_partition_id().alias("part"))
+    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("class", "least", "label", "dim", "copies", "embedding", F.spark_partition_id().alias("part"))
     numpy_kind = np.float32 if kind == "float" else np.float64
     bounds = [f"{e}{i}" for i in range(BOUNDS) for e in ("lo", "hi")]
 
@@ -102,27 +102,27 @@ def _blocks(classes: DataFrame, basis: dict[int, np.ndarray], eps: float, kind:
 
         def block() -> pa.RecordBatch:
             nonlocal number
-            x = np.array([r[2] for r in held], numpy_kind)
+            x = np.array([r[3] for r in held], numpy_kind)
             y = _along(_unit(x), shared.value, BOUNDS)
             lo, hi = np.zeros(BOUNDS), np.zeros(BOUNDS)
             lo[: y.shape[1]], hi[: y.shape[1]] = y.min(0), y.max(0)
-            row = [key[0], key[1], part << 32 | number, np.array([r[0] for r in held], np.int64).tobytes(), np.array([r[1] for r in held], np.int64).tobytes(), x.tobytes()]
+            row = [key[0], key[1], part << 32 | number, *(np.array([r[i] for r in held], np.int64).tobytes() for i in range(3)), x.tobytes()]
             number += 1
             edge = [v for pair in zip(lo, hi) for v in pair]
-            types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), *[pa.float64()] * len(edge)]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*row, *edge], types)], ["label", "dim", "block", "ids", "copies", "data", *bounds])
+            types = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), *[pa.float64()] * len(edge)]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*row, *edge], types)], ["label", "dim", "block", "ids", "least", "copies", "data", *bounds])
 
         for batch in batches:
-            for c, label, dim, copies, e, part in zip(*(col.to_pylist() for col in batch.columns)):
+            for c, least, label, dim, copies, e, part in zip(*(col.to_pylist() for col in batch.columns)):
                 if held and (key != (label, dim) or len(held) >= BLOCK):
                     yield block()
                     held = []
                 key = (label, dim)
-                held.append((c, copies, e))
+                held.append((c, least, copies, e))
         if held:
             yield block()
 
-    return placed.mapInArrow(pack, "label string, dim int, block long, ids binary, copies binary, data binary" + "".join(f", {b} double" for b in bounds))
+    return placed.mapInArrow(pack, "label string, dim int, block long, ids binary, least binary, copies binary, data binary" + "".join(f", {b} double" for b in bounds))
 
 
 def _candidates(blocks: DataFrame, eps: float) -> DataFrame:
@@ -168,24 +168,25 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compared(pairs: DataFrame, blocks: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """``u, v, links``: links of class u by count (v null), and edges u - v of spanning forests (links null)."""
+    """``u, v, links``: links of class u by count (v null), and edges u - v of spanning forests, by least keys (links null)."""
     numpy_kind = np.float32 if kind == "float" else np.float64
-    side = lambda n: blocks.select(F.col("block").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("ids", "copies", "data")])
+    columns = ("ids", "least", "copies", "data")
+    side = lambda n: blocks.select(F.col("block").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in columns])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", "a_ids", "a_copies", "a_data", "b_ids", "b_copies", "b_data")
+    both = both.select("a", "b", *[f"{n}_{c}" for n in "ab" for c in columns])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, ai, ac, ad, bi, bc, bd in zip(*(c.to_pylist() for c in batch.columns)):
-                ai, bi, ac, bc = (np.frombuffer(v, np.int64) for v in (ai, bi, ac, bc))
+            for a, b, ai, al, ac, ad, bi, bl, bc, bd in zip(*(c.to_pylist() for c in batch.columns)):
+                ai, al, ac, bi, bl, bc = (np.frombuffer(v, np.int64) for v in (ai, al, ac, bi, bl, bc))
                 x = _unit(np.frombuffer(ad, numpy_kind).reshape(len(ai), -1))
                 y = x if a == b else _unit(np.frombuffer(bd, numpy_kind).reshape(len(bi), -1))
                 linked = x @ y.T >= threshold
                 if a == b:
                     np.fill_diagonal(linked, False)
-                    counts, ids, square = linked @ ac, ai, linked
+                    counts, ids, least, square = linked @ ac, ai, al, linked
                 else:
-                    counts, ids = np.concatenate([linked @ bc, ac @ linked]), np.concatenate([ai, bi])
+                    counts, ids, least = np.concatenate([linked @ bc, ac @ linked]), np.concatenate([ai, bi]), np.concatenate([al, bl])
                     n = len(ai)
                     square = np.zeros((len(ids), len(ids)), bool)
                     square[:n, n:], square[n:, :n] = linked, linked.T
@@ -193,8 +194,8 @@ def _compared(pairs: DataFrame, blocks: DataFrame, threshold: float, kind: str)
                 if not has.size:
                     continue
                 edges = _forest(square)
-                u = np.concatenate([ids[has], ids[[e[0] for e in edges]]])
-                v = pa.array([None] * len(has) + ids[[e[1] for e in edges]].tolist(), pa.int64())
+                u = np.concatenate([ids[has], least[[e[0] for e in edges]]])
+                v = pa.array([None] * len(has) + least[[e[1] for e in edges]].tolist(), pa.int64())
                 links = pa.array(counts[has].tolist() + [None] * len(edges), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(u), v, links], ["u", "v", "links"])
 
@@ -232,17 +233,17 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.93, key: str = "vec
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
     links = found.where("links is not null").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "class")
     edges = found.where("v is not null").select("u", "v")
-    # classes are narrow from here on; both sides of each join are cut or shuffled, so large classes and components are split
-    names = classes.select("h1", "h2", "class", "copies")
-    rows = cut(d.select("id", "h1", "h2").join(names, ["h1", "h2"], "left").select("id", "class", "copies"))
     # a key on rows of different vectors joins their classes
-    several = cut(rows.where("class is not null").groupBy("id").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("id", "c0"))
-    meet = rows.join(several, "id").where("class <> c0").select(F.col("class").alias("u"), F.col("c0").alias("v"))
-    component = cut(connected_components(edges.unionByName(meet)).withColumnsRenamed({"node": "class", "component": "comp"}))
-    own = cut(classes.select("class", "least").join(component, "class", "left").select("class", "least", F.coalesce("comp", "class").alias("comp")).join(cut(links), "class", "left"))
-    least = cut(own.groupBy("comp").agg(F.min("least").alias("component_id")))
-    own = cut(own.join(least, "comp").select("class", "links", "component_id"))
-    rows = rows.join(own, "class", "left")
-    n_links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    out = rows.select(F.col("id").alias(key), n_links.cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    rows = d.select("id", "h1", "h2")
+    several = cut(rows.where("h1 is not null").groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("one"), F.max(F.struct("h1", "h2")).alias("other")).where("one <> other").select("id"))
+    if several.limit(1).count():
+        meet = rows.join(several, "id", "left_semi").distinct().join(classes.select("h1", "h2", "least"), ["h1", "h2"])
+        edges = edges.unionByName(meet.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")))
+    component = connected_components(edges).withColumnsRenamed({"node": "least", "component": "component_id"})
+    # classes are joined with what is known of them, and rows with that once, through a table cut from its lineage, so that a class of very many rows is split
+    own = classes.select("h1", "h2", "class", "copies", "least").join(links, "class", "left").join(component, "least", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    own = cut(own.select("h1", "h2", n_links.alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
+    out = rows.join(own, ["h1", "h2"], "left")
+    out = out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

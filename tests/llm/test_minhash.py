@@ -156,9 +156,13 @@ def test_shingles_are_sets_of_words():
     assert not np.intersect1d(minhash.shingle_hashes("a b c", 4), minhash.shingle_hashes("z a b c", 4)).size
 
 
-def test_components_helper(spark):
+@pytest.mark.parametrize("local", [100_000, 10])
+def test_components_helper(spark, monkeypatch, local):
+    from tamis.llm import common
     from tamis.llm.common import connected_components
 
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
+
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1080)] + [(7000, 7000)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
