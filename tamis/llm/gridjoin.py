@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 
 from tamis.llm.common import connected_components, cut
 
-#: Vectors of a block; children of an interval; pairs of blocks that Python holds at once.
-BLOCK, FAN, PAIRS = 1024, 8, 8
+#: Vectors of a block; children of an interval; pairs of blocks that Python holds at once, and that a task compares.
+BLOCK, FAN, PAIRS, TASK_PAIRS = 1024, 8, 8, 64
 #: Leading directions that have bounds, and those of them that have cells.
 BOUNDS, CELLS = 16, 4
 #: Vectors that the directions are fitted on at most, and numbers in them. Any basis is right; this one is apt.
@@ -173,7 +173,9 @@ def _compared(pairs: DataFrame, blocks: DataFrame, threshold: float, kind: str)
     columns = ("ids", "least", "copies", "data")
     side = lambda n: blocks.select(F.col("block").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in columns])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", *[f"{n}_{c}" for n in "ab" for c in columns])
+    # tasks of some pairs each, however finely the joins are dealt out
+    tasks = max(2 * pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // TASK_PAIRS))
+    both = both.select("a", "b", *[f"{n}_{c}" for n in "ab" for c in columns]).coalesce(tasks)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
