@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,4 +77,79 @@ def ipv6(text: Column) -> Column:
     return whole | short
 
 
-CHECKS = {"luhn": luhn, "iban": lambda t: iban(F.upper(F.replace(t, F.lit(" "), F.lit(""))))}
+def _weighted(digits: Column, weights: Sequence[int]) -> Column:
+    """The sum of the first digits of an array, each times its weight."""
+    products = F.zip_with(F.slice(digits, 1, len(weights)), F.array(*map(F.lit, weights)), lambda d, w: d * w)
+    return F.aggregate(products, F.lit(0), lambda a, x: a + x)
+
+
+def _modulus(weights: Sequence[int], modulus: int, check: Callable[[Column], Column], first: int = 0) -> Callable[[Column], Column]:
+    """A check of the digits of a text: ``check`` of their weighted sum, less ``first``, must be the digit after the weights."""
+
+    def valid(text: Column) -> Column:
+        digits = _digits(F.regexp_replace(text, "[^0-9]", ""))
+        found = check((_weighted(digits, weights) - first) % modulus)
+        return F.coalesce(found == F.get(digits, F.lit(len(weights))), F.lit(False))
+
+    return valid
+
+
+def _divisible(weights: Sequence[int], modulus: int, first: int = 0) -> Callable[[Column], Column]:
+    """A check that the weighted sum of a text's digits, less ``first``, is a multiple."""
+    return lambda text: (_weighted(_digits(F.regexp_replace(text, "[^0-9]", "")), weights) - first) % modulus == 0
+
+
+def verhoeff(text: Column) -> Column:
+    """Verhoeff's check, from the dihedral group of order ten and powers of its permutation."""
+    times = [[(a + b) % 5 if b < 5 else 5 + (a + b) % 5 for b in range(10)] if a < 5 else [5 + (a - b) % 5 if b < 5 else (a - b) % 5 for b in range(10)] for a in range(10)]
+    base, powers = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4], [list(range(10))]
+    for _ in range(7):
+        powers.append([powers[-1][base[i]] for i in range(10)])
+    group, turned = F.array(*[F.lit(x) for row in times for x in row]), F.array(*[F.lit(x) for row in powers for x in row])
+    digits = F.transform(F.reverse(_digits(F.regexp_replace(text, "[^0-9]", ""))), lambda d, i: F.get(turned, i % 8 * 10 + d))
+    return F.aggregate(digits, F.lit(0), lambda c, d: F.get(group, c * 10 + d)) == 0
+
+
+def _letter(number: Column, letters: str) -> Column:
+    return F.substr(F.lit(letters), (number % len(letters) + 1).cast("int"), F.lit(1))
+
+
+def nif(text: Column) -> Column:
+    """The letter of a Spanish NIF, or of an NIE whose X, Y or Z stands for 0, 1 or 2."""
+    own = F.regexp_replace(F.upper(text), "[^0-9A-Z]", "")
+    number = F.regexp_extract(F.concat(F.translate(F.substring(own, 1, 1), "XYZ", "012"), F.substr(own, F.lit(2))), "^([0-9]{8})", 1).try_cast("int")
+    return F.coalesce(_letter(number, "TRWAGMYFPDXBNJZSQVHLCKE") == F.substr(own, F.length(own), F.lit(1)), F.lit(False))
+
+
+def nric(text: Column) -> Column:
+    """The letter of a Singaporean NRIC or FIN: one table for S and T, one for F and G, one for M; T and G add 4, M adds 3."""
+    kind, digits = F.substring(text, 1, 1), _digits(F.substring(text, 2, 7))
+    total = (_weighted(digits, (2, 7, 6, 5, 4, 3, 2)) + F.when(kind.isin("T", "G"), 4).when(kind == "M", 3).otherwise(0)) % 11
+    letter = F.when(kind.isin("S", "T"), _letter(total, "JZIHGFEDCBA")).when(kind.isin("F", "G"), _letter(total, "XWUTRQPNMLK")).otherwise(_letter(10 - total, "KLJNPQRTUWX"))
+    return F.coalesce(letter == F.substring(text, 9, 1), F.lit(False))
+
+
+def hetu(text: Column) -> Column:
+    """The check character of a Finnish identity code: its nine digits modulo 31."""
+    number = F.concat(F.substring(text, 1, 6), F.substring(text, 8, 3)).try_cast("long")
+    return F.coalesce(_letter(number, "0123456789ABCDEFHJKLMNPRSTUVWXY") == F.substring(text, 11, 1), F.lit(False))
+
+
+#: Checks by name.
+CHECKS = {
+    "luhn": luhn,
+    "iban": lambda t: iban(F.upper(F.replace(t, F.lit(" "), F.lit("")))),
+    "luhn11": lambda t: luhn(t, least=11),
+    "nhs": _modulus(range(10, 1, -1), 11, lambda r: (11 - r) % 11),
+    "pesel": _modulus((1, 3, 7, 9, 1, 3, 7, 9, 1, 3), 10, lambda r: (10 - r) % 10),
+    "acn": _modulus(range(8, 0, -1), 10, lambda r: (10 - r) % 10),
+    "medicare": _modulus((1, 3, 7, 9, 1, 3, 7, 9), 10, lambda r: r),
+    "tnin": _modulus(range(13, 1, -1), 11, lambda r: (11 - r) % 10),
+    "rrn": _modulus((2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5), 11, lambda r: (11 - r) % 10),
+    "abn": _divisible((10, 1, 3, 5, 7, 9, 11, 13, 15, 17, 19), 89, 10),
+    "tfn": _divisible((1, 4, 3, 7, 5, 8, 6, 9, 10), 11),
+    "verhoeff": verhoeff,
+    "nif": nif,
+    "nric": nric,
+    "hetu": hetu,
+}

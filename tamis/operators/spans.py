@@ -5,7 +5,7 @@ Everything is local to a row, so a scan with any of these operators is one stage
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -116,7 +116,7 @@ def detect(text: Column, rules: Sequence[Rule] = REGEX_RULES, threshold: float |
     if not used:
         return F.when(text.isNotNull(), empty())
     hits = F.filter(F.array(*[_hit(F.coalesce(text, F.lit("")), r, i) for i, r in used]), lambda h: h.isNotNull())
-    checks = sorted({r.check for _, r in used if r.check})
+    checks = sorted({r.check for _, r in used if r.check in CHECKS})  # an unknown check keeps
     every = F.flatten(F.transform(hits, lambda h: _hit_spans(h, checks)))
     return resolve_by_priority(every) if resolve else by_start(every)
 
@@ -146,6 +146,22 @@ def merge(*detected: Column) -> Column:
     return resolve_by_type(merge_exact(normal))
 
 
+def detect_all(text: Column, detectors: Mapping[str, Callable[[Column], Column]], enabled: Sequence[str] | None = None) -> Column:
+    """``struct<spans, stats>``: the merged spans of the enabled detectors and, by detector that ran, how many spans it found.
+
+    A detector that fails on a text, by giving null, finds nothing there and the others go on; null and empty texts are
+    asked of none.
+    """
+    used = {n: d for n, d in detectors.items() if enabled is None or n in enabled}
+    if not used:
+        return F.struct(empty().alias("spans"), F.create_map().cast("map<string,int>").alias("stats"))
+    found = F.struct(*[F.coalesce(d(text), empty()).alias(n) for n, d in used.items()])
+    stats = lambda f: F.create_map(*[x for n in used for x in (F.lit(n), F.size(f[n]))])
+    ran = named(found, lambda f: F.struct(merge(*[f[n] for n in used]).alias("spans"), stats(f).alias("stats")))
+    nothing = F.struct(empty().alias("spans"), F.map_from_arrays(F.array(*map(F.lit, used)), F.array(*[F.lit(0)] * len(used))).alias("stats"))
+    return F.when(F.coalesce(text, F.lit("")) != "", ran).otherwise(nothing)
+
+
 def normal_type(pii_type: Column) -> Column:
     """Upper case with underscores; UNKNOWN for null or empty."""
     return F.when(F.coalesce(pii_type, F.lit("")) == "", "UNKNOWN").otherwise(F.upper(F.translate(pii_type, " -", "__")))

@@ -125,7 +125,7 @@ def det08_resolved_labels(spark, sf):
 @query("SELECT * FROM (VALUES (0, 1), (1, 0), (2, 2), (3, 0)) AS t(id, n)")
 def det06_first_array(spark, sf):
     answers = ['<think>[1, 2]</think> so [{"text": "a", "label": "B"}] and [1]', "no list", '[{"a": [1, [2]]}, {"b": 2}]', "[unbalanced"]
-    n = F.udf(lambda a: len(M.first_array(a)), "int")  # four literal rows
+    n = F.pandas_udf(lambda a: a.map(lambda x: len(M.first_array(x))), "int")
     return spark.createDataFrame(list(enumerate(answers)), "id int, answer string").select("id", n("answer").alias("n"))
 
 
@@ -160,11 +160,40 @@ def join07_concepts(spark, sf):
 # -- detectors together, masks
 
 
-@query(f"WITH {SQL_MERGED} SELECT det AS source, count(*) AS found FROM every GROUP BY 1")
+@query(
+    f"""WITH {SQL_MERGED}, n AS (SELECT doc_id, count(*) FILTER (WHERE det = 'REGEX') AS regex_found, count(*) FILTER (WHERE det = 'PRESIDIO') AS entity_found FROM every GROUP BY doc_id), m AS (SELECT doc_id, count(*) AS merged FROM merged GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(regex_found, 0) AS INT) AS regex_found, CAST(coalesce(entity_found, 0) AS INT) AS entity_found, CAST(coalesce(merged, 0) AS INT) AS merged, false AS model_ran FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+)
 def det09_detector_runs(spark, sf):
-    """Counts of each detector before merging."""
-    d = documents(spark, sf).select(P.detect(F.col("text")).alias("a"), P.detect(F.col("text"), R.ENTITY_RULES).alias("b")).agg(F.sum(F.size("a")).alias(R.REGEX), F.sum(F.size("b")).alias(R.ENTITY))
-    return d.select(F.explode(F.array(*[F.struct(F.lit(x).alias("source"), F.col(x).cast("long").alias("found")) for x in (R.REGEX, R.ENTITY)])).alias("x")).select("x.*").where("found > 0")
+    """What each detector found before merging, and all after; one that fails finds nothing, one that is off does not run."""
+    none = lambda text: F.lit(None).cast(P.SPANS)
+    detectors = {R.REGEX: P.detect, R.ENTITY: lambda t: P.detect(t, R.ENTITY_RULES), "FAILING": none, R.MODEL: none}
+    d = documents(spark, sf).select("doc_id", P.detect_all(F.col("text"), detectors, (R.REGEX, R.ENTITY, "FAILING")).alias("x"))
+    return d.select("doc_id", F.col("x.stats")[R.REGEX].alias("regex_found"), F.col("x.stats")[R.ENTITY].alias("entity_found"), F.size("x.spans").alias("merged"), F.map_contains_key("x.stats", F.lit(R.MODEL)).alias("model_ran"))
+
+
+@query(
+    """WITH v AS (SELECT c_custkey AS k, lpad(CAST(c_custkey * 7919 % 1000000000000 AS VARCHAR), 12, '0') AS bban, lpad(CAST(c_custkey % 97 + 2 AS VARCHAR), 2, '0') AS digits FROM customer)
+    SELECT k AS c_custkey, 5 AS start, 21 AS "end", 'IBAN' AS pii_type, 'BE' || digits || bban AS text FROM v WHERE CAST(bban || '1114' || digits AS HUGEINT) % 97 = 1"""
+)
+def det04_ibans(spark, sf):
+    """Account numbers made from customer numbers: of those of a right length, the ones whose check digits are right."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("iban BE"), F.lpad((k % 97 + 2).cast("string"), 2, "0"), F.lpad((k * 7919 % 1000000000000).cast("string"), 12, "0"), F.lit(" paid"))
+    d = table(spark, sf, "customer").select(k, P.detect(text, [r for r in R.ENTITY_RULES if r.pii_type == "IBAN"]).alias("spans"))
+    return each_span(d, "c_custkey").select("c_custkey", "x.start", "x.end", "x.pii_type", "x.text")
+
+
+@query(
+    """WITH v AS (SELECT c_custkey AS k, lpad(CAST(c_custkey * 104729 % 100000000000 AS VARCHAR), 11, '0') AS t FROM customer), d AS (SELECT k, t, list_transform(string_split(t, ''), lambda c: CAST(c AS INT)) AS d FROM v)
+    SELECT k AS c_custkey, 'PL_PESEL' AS pii_type, t AS text FROM d WHERE (d[1] + 3 * d[2] + 7 * d[3] + 9 * d[4] + d[5] + 3 * d[6] + 7 * d[7] + 9 * d[8] + d[9] + 3 * d[10] + d[11]) % 10 = 0"""
+)
+def det04_enabled_types(spark, sf):
+    """A type of one country is found once it is enabled, if its threshold lets its rule through; all else stays off."""
+    config = [("PL_PESEL", R.ENTITY, True, 0.95, "Government ID", "MEDIUM"), ("IT_VAT_CODE", R.ENTITY, False, 0.9, "Financial", "MEDIUM"), ("SG_UEN", R.ENTITY, True, 0.9, "Business", "MEDIUM")]
+    text = F.lpad((F.col("c_custkey") * 104729 % 100000000000).cast("string"), 11, "0")
+    d = table(spark, sf, "customer").select("c_custkey", P.detect(F.concat(F.lit("no "), text, F.lit(" 12345678A")), R.entity_rules(config)).alias("spans"))
+    return each_span(d, "c_custkey").select("c_custkey", "x.pii_type", "x.text")
 
 
 @query(DETECTION["msk01_masked_documents"].replace(f"WHEN length(text) > 10000 THEN '{P.NOTICE}'", "WHEN text IS NULL THEN NULL"))
