@@ -260,15 +260,18 @@ def identified(docs: DataFrame, rows_per_lang: int, order: int, seed: int, keep:
 #: Bits per byte beyond which the shortest code shows that a text is in none of the languages. Text in a learnt language takes
 #: 2 to 3, rarely over 4; bytes as they are take 8.
 MOST_BITS = 6.0
+#: Bytes of a text from which on that is told: a key or number alone makes the code of a shorter one long.
+LEAST_BYTES = 100
 
 
 def select_identified(
-    docs: DataFrame, *, least_score: float = 0.5, most_bits: float = MOST_BITS, rows_per_lang: int = 400, order: int = 4, seed: int = 20_240
+    docs: DataFrame, *, least_score: float = 0.5, most_bits: float = MOST_BITS, least_bytes: int = LEAST_BYTES, rows_per_lang: int = 400, order: int = 4, seed: int = 20_240
 ) -> DataFrame:
-    """The rows of ``docs``, as they are, whose language is determined, with a score of ``least_score`` or more and at most ``most_bits`` per byte.
+    """The rows of ``docs``, as they are, whose language is determined, with a score of ``least_score`` or more.
 
-    The score compares the learnt languages with each other; the code length tells texts that are in none of them.
+    The score compares the learnt languages with each other; texts of ``least_bytes`` or more that take over
+    ``most_bits`` per byte are in none of them and go as well.
     """
     found = identified(docs, rows_per_lang, order, seed, None)
-    found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score) & (F.col("bits_per_byte") <= most_bits))
+    found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score) & ((F.col("bits_per_byte") <= most_bits) | (F.octet_length("text") < least_bytes)))
     return found.select(*unpacked(docs.columns, ("doc_id", "text", "lang")))
