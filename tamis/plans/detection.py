@@ -273,7 +273,13 @@ def chk01_char_chunks(spark, sf):
     return d.select("doc_id", "c.start", "c.end", F.sha2("c.text", 256).alias("chunk_sha256"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS m, string_split_regex(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS g FROM documents WHERE text <> ''),
+    w AS (SELECT *, len(m) AS n, unnest(range(0, CASE WHEN len(m) <= 256 THEN 1 ELSE CAST(ceil((len(m) - 256) / 224.0) AS BIGINT) + 1 END)) AS k FROM t)
+    SELECT doc_id, CAST(CASE WHEN k = 0 THEN 0 ELSE length(array_to_string(m[1:k * 224], '')) + length(array_to_string(g[1:k * 224 + 1], '')) END AS INT) AS start,
+        CAST(CASE WHEN k * 224 + 256 >= n THEN length(text) ELSE length(array_to_string(m[1:k * 224 + 256], '')) + length(array_to_string(g[1:k * 224 + 256], '')) END AS INT) AS "end",
+        CAST(least(256, n - k * 224) AS INT) AS tokens FROM w"""
+)
 def chk02_token_chunks(spark, sf):
     d = documents(spark, sf).select("doc_id", F.explode(T.token_chunks(F.col("text"), 256, 32)).alias("c"))
     return d.select("doc_id", "c.start", "c.end", "c.tokens")

@@ -163,10 +163,10 @@ def top02_failed_items(spark, sf):
 
 @query(
     f"""WITH {SQL_EVENTS}, one AS (SELECT * FROM ev WHERE findings > 0 QUALIFY row_number() OVER (PARTITION BY space_key, page_id, coalesce(attachment_name, '') ORDER BY event_seq) = 1)
-    SELECT space_key, page_id, attachment_name, event_seq FROM one QUALIFY row_number() OVER (PARTITION BY space_key ORDER BY event_seq) <= 40"""
+    SELECT space_key, page_id, attachment_name, event_seq FROM one QUALIFY row_number() OVER (PARTITION BY space_key ORDER BY event_seq) <= 400"""
 )
 def top03_first_items(spark, sf):
-    return S.first_items(store(spark, sf), 40).select("space_key", "page_id", "attachment_name", "event_seq")
+    return S.first_items(store(spark, sf)).select("space_key", "page_id", "attachment_name", "event_seq")
 
 
 @query(

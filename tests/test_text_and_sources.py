@@ -3,6 +3,7 @@ import hashlib
 import hmac
 import json
 import threading
+import urllib.parse
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -104,6 +105,65 @@ def test_wiki_source(spark):
         server.shutdown()
 
 
+class Lookups(BaseHTTPRequestHandler):
+    """A wiki that answers single objects, searches (by their query) and downloads."""
+
+    asked: list[str] = []
+    busy = 1
+
+    def log_message(self, *a):
+        pass
+
+    def do_GET(self):
+        path, _, query = self.path.partition("?")
+        options = dict(urllib.parse.parse_qsl(query))
+        body = {"body": {"storage": {"value": "<p>x</p>"}}, "space": {"key": "S7"}, "version": {"number": 1}}
+        if path.startswith("/files/"):
+            if Lookups.busy:
+                Lookups.busy -= 1
+                return self.send_error(503)
+            return self.send_error(404) if path.endswith("gone") else self.answer(b"bytes of " + path.encode())
+        if path == "/rest/api/content/search":
+            Lookups.asked.append(options["cql"])
+            if "type = attachment" in options["cql"]:
+                found = [{"id": "a1", "title": "x.pdf", "container": {"id": 12}, "_links": {"download": "/files/x"}}]
+            else:
+                found = [{"content": {"id": 12, "title": "found", **body}}]
+            return self.answer(json.dumps({"results": found, "limit": 250}).encode())
+        if path in ("/rest/api/content/12", "/rest/api/content/13"):
+            return self.answer(json.dumps({"id": path[-2:], "title": "one", **body}).encode())
+        if path == "/rest/api/space/S7":
+            return self.answer(json.dumps({"id": 7, "key": "S7", "name": "Seven"}).encode())
+        return self.send_error(404)
+
+    def answer(self, data):
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(data)
+
+
+def test_wiki_lookups_searches_and_downloads(spark):
+    server = HTTPServer(("127.0.0.1", 0), Lookups)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    wiki.register(spark)
+    base = f"http://127.0.0.1:{server.server_port}"
+    read = lambda entity, **o: spark.read.format("wiki").options(url=base, entity=entity, wait="0.01", **o).load()
+    try:
+        assert sorted((r.id, r.space_key, r.body) for r in read("pages", ids="12,99,13").collect()) == [("12", "S7", "<p>x</p>"), ("13", "S7", "<p>x</p>")]
+        assert [(r.id, r.key) for r in read("spaces", keys="S7,NONE").collect()] == [("7", "S7")]
+        assert [(r.id, r.title) for r in read("pages", spaces="S7", query='say "hi"').collect()] == [("12", "found")]
+        assert [r.id for r in read("pages", spaces="S7", since="2024-01-01").collect()] == ["12"]
+        found = read("attachments", spaces="S7", since="2024-01-01")
+        assert [(r.id, r.page_id, r.extension) for r in found.collect()] == [("a1", "12", "pdf")]
+        assert set(Lookups.asked) == {'space = "S7" AND type = page AND text ~ "say \\"hi\\""', 'space = "S7" AND type = page AND lastModified >= "2024-01-01"', 'space = "S7" AND type = attachment AND lastModified >= "2024-01-01"'}
+        more = found.unionByName(spark.createDataFrame([("b", "1", "S", "n", "", None, "/files/gone"), ("c", "1", "S", "n", "", None, None), ("d", "1", "S", "n", "", None, "/files/y")], found.schema))
+        got = {r.id: r.content and bytes(r.content) for r in wiki.downloaded(more, base, wait_s=0.01).collect()}
+        assert got == {"a1": b"bytes of /files/x", "b": None, "c": None, "d": b"bytes of /files/y"}
+        assert {r.content for r in wiki.downloaded(more, base, wait_s=0.01, longest=3).collect()} == {None}
+    finally:
+        server.shutdown()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.txt").write_text("words of a text that is long enough to be taken for one, surely so")
