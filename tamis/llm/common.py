@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,26 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+from tamis.sources.files import shared_dir
 
-    Where the session names none, a temporary folder is set if driver and executors are one process (tests); a cluster
-    has to name one, as folders of one machine are not seen by the others.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if where is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="tamis-shared-")
-        sc.setCheckpointDir(where)
-        spark.conf.set("spark.checkpoint.dir", where)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows of whole texts that Spark hands to a Python worker at once, unless the session says otherwise.

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tamis.functions.rules import REGEX_RULES
 from tamis.operators import scans
 from tamis.operators import spans as S
+from tamis.sources.files import shared_dir
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def document_stream(spark: SparkSession, path: str, schema: str = "doc_id long, text string, source string", files_per_batch: int = 100) -> DataFrame:
@@ -28,12 +31,25 @@ def replay_safe(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["scan_id", "event_seq"])
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream has written when all its input is read: for tests and queries of bounded input."""
-    name = f"tamis_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def finished(stream: DataFrame) -> DataFrame:
+    """What a stream in append mode has written when all its input is read: for queries of bounded input.
+
+    Rows go to files in the shared folder, left for the caller to remove, so none gather at the driver. Keys that are
+    remembered are kept on disk, not in the heap, and go when the stream has ended.
+    """
+    spark = stream.sparkSession
+    out = f"{shared_dir(spark)}/tamis_{uuid.uuid4().hex}"
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        # a started query has a session of its own, a clone of this one
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    finally:
+        spark.conf.set(STATE_STORE, before)
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    state = spark._jvm.org.apache.hadoop.fs.Path(f"{out}-state")
+    state.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(state, True)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def keep_checkpoints(events: DataFrame, path: str, checkpoint: str):

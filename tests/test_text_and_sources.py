@@ -5,6 +5,7 @@ import json
 import threading
 import urllib.parse
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +217,17 @@ def test_checkpoint_stream(spark, tmp_path):
         scan.keep_checkpoints(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
         r = spark.read.parquet(str(tmp_path / f"state/{k}")).first()
         assert (r.status, r.last_page) == ("COMPLETED" if k == 2 else "RUNNING", "p1")
+
+
+def test_a_finished_stream_is_files_and_gathers_nothing_at_the_driver(spark, tmp_path):
+    """Each event once, whatever its times are; the rows are files of the shared folder, the state is gone."""
+    schema, provider = "scan_id string, event_seq long, ts timestamp", "spark.sql.streaming.stateStore.providerClass"
+    where, store = spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), spark.conf.get(provider)
+    rows = spark.range(500).selectExpr("concat('scan', id % 3) AS scan_id", "id % 250 AS event_seq", "CASE WHEN id % 7 > 0 THEN timestamp_seconds(id * 86400) END AS ts")
+    rows.repartition(5).write.parquet(str(tmp_path / "in"))
+    got = scan.finished(scan.replay_safe(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))))
+    assert got.inputFiles() and all(f.removeprefix("file://").startswith(where) for f in got.inputFiles())
+    assert sorted(map(tuple, got.select("scan_id", "event_seq").collect())) == sorted({(f"scan{i % 3}", i % 250) for i in range(500)})
+    assert not list(Path(where).glob("tamis_*-state")) and spark.conf.get(provider) == store
+    rows.limit(0).write.parquet(str(tmp_path / "none"))
+    assert scan.finished(scan.replay_safe(spark.readStream.schema(schema).parquet(str(tmp_path / "none")))).collect() == []
