@@ -12,6 +12,7 @@ from tamis.functions import rules as R
 from tamis.functions import validators as V
 from tamis.operators import config as C
 from tamis.operators import model
+from tamis.operators import postfilter as PF
 from tamis.operators import spans as S
 
 TEXTS = [
@@ -191,3 +192,12 @@ def test_blocks_do_not_matter(spark, monkeypatch, block):
             if s.start >= at:
                 out, at = out + r.text[at : s.start] + f"[{s.pii_type}]", s.end
         assert r.m == out + r.text[at:]
+
+
+def test_a_digest_read_as_a_wallet_is_discarded_and_an_address_kept(spark):
+    """A SHA-1 digest may begin like an address; the post-filter goes by its shape, whatever its type is."""
+    digest, address = "bc141c8477ceaed7b9aa8bfba357b8827d687865", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"
+    d = spark.createDataFrame([(f"commit {digest} pays {address}",)], "text string")
+    x = d.select(PF.split(S.detect(F.col("text"), R.ENTITY_RULES)).alias("x")).first().x
+    assert [(s.pii_type, s.text) for s in x.kept] == [("CRYPTO_WALLET", address)]
+    assert [(g.span.pii_type, g.span.text, g.reason) for g in x.discarded] == [("CRYPTO_WALLET", digest, "technical artifact: sha1-digest (hex-40)")]
